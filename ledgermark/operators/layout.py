@@ -1,0 +1,15 @@
+"""Spreading work over the cluster's tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when the input has fewer splits than the cluster has cores.
+
+    For heavy per-row work on one big unsplittable file. An input with enough
+    splits, which any large table has, is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

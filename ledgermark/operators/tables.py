@@ -45,14 +45,14 @@ def year_cells(long: DataFrame, table_id: str = "table_id") -> DataFrame:
     """Integer cells of year rows: lower-cased columns, digit commas removed, null where not an integer."""
     return long.select(
         table_id,
-        F.lower("row_key").try_cast("int").alias("year"),
+        F.lower("row_key").try_cast("bigint").alias("year"),
         F.lower("column").alias("column"),
-        strip_digit_commas(F.lower("value")).try_cast("int").alias("value"),
+        strip_digit_commas(F.lower("value")).try_cast("bigint").alias("value"),
     ).filter(F.col("year").isNotNull())
 
 
 def to_year_rows(long: DataFrame, columns: list[str], table_id: str = "table_id") -> DataFrame:
-    """TAB-3: one row per table and year, one integer column per name in ``columns``."""
+    """TAB-3: one row per table and year, one whole-number column per name in ``columns``."""
     return year_cells(long, table_id).groupBy(table_id, "year").pivot("column", columns).agg(F.first("value", ignorenulls=True))
 
 
@@ -78,7 +78,7 @@ def has_complete_series(cells: ColumnOrName, variables: ColumnOrName, years: Col
                 F.try_element_at(table, v),
                 lambda series: F.forall(
                     as_col(years),
-                    lambda y: F.try_element_at(series, y.cast("string")).try_cast("int").isNotNull(),
+                    lambda y: F.try_element_at(series, y.cast("string")).try_cast("bigint").isNotNull(),
                 ),
             ),
         ),

@@ -61,5 +61,5 @@ def payload_text(value: ColumnOrName) -> Column:
 
 
 def valid_payload(payload: ColumnOrName) -> Column:
-    """Whether the text parses as JSON."""
+    """Whether the text starts with a whole JSON value."""
     return F.try_parse_json(as_col(payload)).isNotNull()

@@ -11,7 +11,8 @@ from ledgermark.functions.tables import table_line
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), F.trim)
+    bare = F.regexp_replace(line, r"^\|+|\|+$", "")
+    return F.transform(F.split(bare, r"\|"), lambda cell: F.regexp_replace(cell, r"^\s+|\s+$", ""))
 
 
 def parse_markdown_table(df: DataFrame, table_id: str = "table_id", text: str = "text", keep_last: bool = True) -> DataFrame:

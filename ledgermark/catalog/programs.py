@@ -125,7 +125,8 @@ def definitions(spark, sf_dir):
         F.when(flag == "R", F.lit("x0 = 1\n")).otherwise(F.lit("")),
         "qty = ", q, "  # pieces\n", "part = ", p, "\n", both, "#no comment\nprint(qty)\nrest = 1",
     )
-    rows = table(spark, sf_dir, "lineitem").select(*_KEYS, q.alias("quantity"), remove_comments(code).alias("bare"))
+    items = spread(table(spark, sf_dir, "lineitem").select(*_KEYS, "l_quantity", "l_returnflag"))
+    rows = items.select(*_KEYS, q.alias("quantity"), remove_comments(code).alias("bare"))
     kept = drop_leading_temp(rows, "bare").withColumn("d", definition_prefix("bare"))
     program = text_of("ans = ", F.col("quantity"), " / ", F.col("l_partkey") * 10)
     return kept.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermark.functions.common import ColumnOrName, as_col
+from ledgermark.functions.common import ColumnOrName, as_col, once
 from ledgermark.functions.numbers import float_text, parse_float, parses_as_float, round_half_even, round_n
 
 ANSWER = T.StructType(
@@ -42,14 +42,16 @@ def answer(kind, num=None, text=None, flag=None, items=None) -> Column:
 
 
 def number_answer(x: ColumnOrName) -> Column:
-    x = as_col(x).cast("double")
-    return F.when(x.isNotNull(), answer("float", num=x, text=float_text(x)))
+    return once(as_col(x), lambda v: F.when(v.isNotNull(), answer("float", num=v, text=float_text(v))))
 
 
 def flag_answer(x: ColumnOrName) -> Column:
-    x = as_col(x)
-    text = F.when(x, F.lit("True")).otherwise(F.lit("False"))
-    return F.when(x.isNotNull(), answer("bool", num=x.cast("int").cast("double"), text=text, flag=x))
+
+    def build(v: Column) -> Column:
+        text = F.when(v, F.lit("True")).otherwise(F.lit("False"))
+        return F.when(v.isNotNull(), answer("bool", num=v.cast("int").cast("double"), text=text, flag=v))
+
+    return once(as_col(x), build)
 
 
 def text_answer(x: ColumnOrName) -> Column:
@@ -75,16 +77,18 @@ def answer_from_variant(value: ColumnOrName) -> Column:
 
 def coerce_answer(value: ColumnOrName) -> Column:
     """EXE-3: flags stay, a list gives its first item, whatever reads as a number is one."""
-    v = as_col(value)
-    head = F.get(v["items"], F.lit(0))
-    plain = F.when(v["kind"] == "list", head).otherwise(v["text"])
-    number = F.when(v["kind"].isin("int", "float", "list"), v["num"]).otherwise(parse_float(v["text"]))
-    return (
-        F.when(v["kind"] == "bool", v)
-        .when((v["kind"] == "list") & (F.size(v["items"]) == 0), F.lit(None).cast(ANSWER))
-        .when(number.isNotNull(), number_answer(number))
-        .when(plain.isNotNull(), text_answer(plain))
-    )
+
+    def convert(v: Column) -> Column:
+        head = F.get(v["items"], F.lit(0))
+        plain = F.when(v["kind"] == "list", head).otherwise(v["text"])
+        number = F.when(v["kind"].isin("int", "float", "list"), v["num"]).otherwise(parse_float(v["text"]))
+        return (
+            F.when(v["kind"] == "bool", v)
+            .when((v["kind"] == "list") & (F.size(v["items"]) == 0), F.lit(None).cast(ANSWER))
+            .otherwise(F.coalesce(number_answer(number), text_answer(plain)))
+        )
+
+    return once(as_col(value), convert)
 
 
 def simplify_answer(value: ColumnOrName, as_text: bool = True) -> Column:
@@ -114,11 +118,11 @@ def simplify_number(x: ColumnOrName, as_text: bool = True) -> Column:
 
 def answer_to_label(value: ColumnOrName) -> Column:
     """EXE-5: flags become yes/no, numbers stay, anything else is no prediction."""
-    v = as_col(value)
-    return (
-        F.when(v["kind"] == "bool", text_answer(F.when(v["flag"], F.lit("yes")).otherwise(F.lit("no"))))
+    return once(
+        as_col(value),
+        lambda v: F.when(v["kind"] == "bool", text_answer(F.when(v["flag"], F.lit("yes")).otherwise(F.lit("no"))))
         .when(v["kind"].isin("int", "float"), v)
-        .otherwise(F.lit(None).cast(ANSWER))
+        .otherwise(F.lit(None).cast(ANSWER)),
     )
 
 

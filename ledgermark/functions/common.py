@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -26,6 +27,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``bind``, unless ``value`` is a bare column, which costs nothing to repeat.
+
+    A bound value is evaluated outside generated code, so it is worth it only
+    for an expression.
+    """
+    if re.fullmatch(r"Column<'[\w.]+'>", repr(value)):
+        return body(value)
+    return bind(value, body)
+
+
 def last_of(items: Column) -> Column:
     """Last element, null when there is none."""
     return F.get(items, F.size(items) - 1)

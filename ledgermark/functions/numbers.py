@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgermark.functions.common import BLANK, ColumnOrName, as_col, bind, last_of
+from ledgermark.functions.common import BLANK, ColumnOrName, as_col, bind, last_of, once
 
 # Scale words in matching order, with the factor of each.
 SCALE_WORDS = (
@@ -103,7 +103,7 @@ def round_half_even(x: Column, digits: Column | int) -> Column:
 
 def to_number(text: ColumnOrName) -> Column:
     """NUM-11: last number x word scale x bracket sign x percent, to four decimals."""
-    return bind(
+    return once(
         as_col(text),
         lambda t: round_half_even(last_number(t) * word_scale(t) * sign_of(t) * percent_factor(t), 4),
     )
@@ -112,40 +112,21 @@ def to_number(text: ColumnOrName) -> Column:
 def float_text(x: ColumnOrName) -> Column:
     """Shortest text of a double: plain from 1e-4 up to 1e16, exponent form outside."""
 
-    def spell(java: Column) -> Column:
-        sign = F.when(java.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-        mantissa = F.regexp_replace(F.substring_index(java, "E", 1), "^-", "")
-        power = F.substring_index(java, "E", -1).try_cast("int")
-        whole = F.substring_index(mantissa, ".", 1)
-        part = F.regexp_replace(F.substring_index(mantissa, ".", -1), "^0$", "")
-        digits = F.concat(whole, part)
-        wide = F.rpad(digits, F.greatest(power + 1, F.length(digits)), F.lit("0"))
-        after = F.substr(wide, power + 2)
-        large = F.concat(
-            sign,
-            F.substr(wide, F.lit(1), power + 1),
-            F.lit("."),
-            F.when(after == "", F.lit("0")).otherwise(after),
-        )
-        small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-        exponent = F.concat(
-            sign,
-            whole,
-            F.when(part != "", F.concat(F.lit("."), part)).otherwise(F.lit("")),
-            F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-            F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")),
-        )
+    def spell(v: Column) -> Column:
+        java = v.cast("string")
+        size = F.abs(v)
+        # the digits are final; only the exponent has to be written out
+        fixed = F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+        power = F.regexp_replace(F.regexp_replace(java, r"(?:\.0)?E(?=\d)", "e+"), r"(?:\.0)?E-", "e-")
         return (
-            F.when(java == "NaN", F.lit("nan"))
-            .when(java == "Infinity", F.lit("inf"))
-            .when(java == "-Infinity", F.lit("-inf"))
-            .when(~java.contains("E"), java)
-            .when((power >= 0) & (power < 16), large)
-            .when((power < 0) & (power >= -4), small)
-            .otherwise(exponent)
+            F.when((size >= 1e-3) & (size < 1e7) | (size == 0), java)
+            .when((size >= 1e-4) & (size < 1e16), F.regexp_replace(fixed, r"\.$", ".0"))
+            .when(java.endswith("Infinity"), F.replace(java, F.lit("Infinity"), F.lit("inf")))
+            .when(F.isnan(v), F.lit("nan"))
+            .otherwise(F.regexp_replace(power, r"e([+-])(\d)$", "e$10$2"))
         )
 
-    return bind(as_col(x).cast("double").cast("string"), spell)
+    return once(as_col(x).cast("double") if not isinstance(x, str) else F.col(x), spell)
 
 
 def canonical_number(text: ColumnOrName) -> Column:
@@ -160,7 +141,7 @@ def canonical_number(text: ColumnOrName) -> Column:
             lambda part: _spell_parts(part["n"], part["s"], part["g"], part["p"]),
         )
 
-    return bind(as_col(text), spell)
+    return once(as_col(text), spell)
 
 
 def _spell_parts(token: Column, scale: Column, sign: Column, percent: Column) -> Column:
@@ -178,16 +159,13 @@ def _spell_parts(token: Column, scale: Column, sign: Column, percent: Column) ->
 def decimals(x: ColumnOrName, is_int: Column | bool = False) -> Column:
     """NUM-1: digits after the point in the number's shortest text, 5 if it has none."""
     whole = F.lit(is_int) if isinstance(is_int, bool) else is_int
-    after = bind(
-        float_text(x),
-        lambda t: F.when(t.contains("."), F.length(F.substring_index(t, ".", -1))).otherwise(F.lit(DEFAULT_PRECISION)),
-    )
-    return F.when(whole, F.lit(DEFAULT_PRECISION)).otherwise(after)
+    after = F.regexp_extract(float_text(x), r"\.([^.]*)$", 1)
+    places = F.when(after == "", F.lit(DEFAULT_PRECISION)).otherwise(F.length(after))
+    return F.when(as_col(x).isNotNull(), F.when(whole, F.lit(DEFAULT_PRECISION)).otherwise(places))
 
 
-def _agree(pred: Column, pred_digits: Column, ref: Column, ref_digits: Column, is_close: bool) -> Column:
-    places = F.least(pred_digits, ref_digits)
-    same = _unsigned_zero(format_to(pred, places)) == _unsigned_zero(format_to(ref, places))
+def _agree(pred: Column, ref: Column, places: Column, is_close: bool) -> Column:
+    same = bind(places, lambda k: _unsigned_zero(format_to(pred, k)) == _unsigned_zero(format_to(ref, k)))
     if is_close:
         same = same | (F.abs(pred - ref) <= F.lit(0.001) * F.greatest(F.abs(pred), F.abs(ref)))
     return F.coalesce(same & ~F.isnan(pred) & ~F.isnan(ref), F.lit(False))
@@ -210,40 +188,37 @@ def numbers_equal(
     With ``include_percentage`` the reference may also be 100 times off either
     way; ``is_close`` accepts a relative difference of 0.001.
     """
-    p = as_col(pred).cast("double")
-    r = as_col(ref).cast("double")
     whole = F.lit(ref_is_int) if isinstance(ref_is_int, bool) else ref_is_int
-    candidates = [(r, whole)]
-    if include_percentage:
-        candidates = [(r / F.lit(100.0), F.lit(False)), (r, whole), (r * F.lit(100.0), whole)]
-    pairs = F.array(*[F.struct(v.alias("v"), decimals(v, w).alias("d")) for v, w in candidates])
-    return bind(
-        F.struct(p.alias("v"), decimals(p, pred_is_int).alias("d")),
-        lambda mine: F.exists(pairs, lambda c: _agree(mine["v"], mine["d"], c["v"], c["d"], is_close)),
-    )
+
+    def check(p: Column, r: Column) -> Column:
+        mine = decimals(p, pred_is_int)
+        same = _agree(p, r, F.least(mine, decimals(r, whole)), is_close)
+        if include_percentage:
+            part, many = r / F.lit(100.0), r * F.lit(100.0)
+            same = (
+                same
+                | bind(part, lambda q: _agree(p, q, F.least(mine, decimals(q)), is_close))
+                | bind(many, lambda q: _agree(p, q, F.least(mine, decimals(q, whole)), is_close))
+            )
+        return same
+
+    return once(as_col(pred), lambda p: once(as_col(ref), lambda r: check(p.cast("double"), r.cast("double"))))
 
 
 def finqa_equal(pred: ColumnOrName, ref: ColumnOrName, include_percentage: bool = False, is_close: bool = False) -> Column:
     """NUM-2 on tagged answers (see ``answers``): null is wrong, bools meet yes/no, text is exact."""
-    p, r = as_col(pred), as_col(ref)
-    ref_text = F.when(r["kind"] == "text", r["text"])
-    numeric = p["kind"].isin("int", "float") & r["kind"].isin("int", "float", "bool")
-    return (
-        F.when(p.isNull() | p["kind"].isNull(), F.lit(False))
-        .when(
-            p["kind"] == "bool",
-            F.coalesce(ref_text == F.when(p["flag"], F.lit("yes")).otherwise(F.lit("no")), F.lit(False)),
-        )
-        .when(
-            (p["kind"] == "text") | F.coalesce(r["kind"] == "text", F.lit(False)),
-            F.coalesce((p["kind"] == r["kind"]) & (p["text"] == r["text"]), F.lit(False)),
-        )
-        .when(
-            numeric,
-            numbers_equal(p["num"], r["num"], include_percentage, is_close, p["kind"] == "int", r["kind"] != "float"),
+
+    def check(p: Column, r: Column) -> Column:
+        label = F.when(p["flag"], F.lit("yes")).otherwise(F.lit("no"))
+        numbers = numbers_equal(p["num"], r["num"], include_percentage, is_close, p["kind"] == "int", r["kind"] != "float")
+        right = (
+            F.when(p["kind"] == "bool", (r["kind"] == "text") & (r["text"] == label))
+            .when((p["kind"] == "text") | (r["kind"] == "text"), (p["kind"] == r["kind"]) & (p["text"] == r["text"]))
+            .when(p["kind"].isin("int", "float") & r["kind"].isin("int", "float", "bool"), numbers)
         )
-        .otherwise(F.lit(False))
-    )
+        return F.coalesce(right, F.lit(False))
+
+    return once(as_col(pred), lambda p: once(as_col(ref), lambda r: check(p, r)))
 
 
 def round_n(x: ColumnOrName, n: ColumnOrName | int) -> Column:

@@ -149,7 +149,6 @@ def evaluate_program(program: ColumnOrName, table: ColumnOrName | None = None) -
 
 # Bounds that stand in for a wall-clock limit; a program beyond them has no answer.
 MAX_SOURCE = 20_000
-MAX_NODES = 2_000
 MAX_BITS = 100_000
 MAX_ITEMS = 10_000
 
@@ -220,11 +219,8 @@ def _run(source: str) -> dict | None:
     try:
         if len(source) > MAX_SOURCE:
             return None
-        tree = ast.parse(source)
-        if sum(1 for _ in ast.walk(tree)) > MAX_NODES:
-            return None
         names: dict = {}
-        for line in tree.body:
+        for line in ast.parse(source).body:
             match line:
                 case ast.Assign(targets=[ast.Name(id=name)], value=value):
                     names[name] = _value(value, names)
@@ -244,34 +240,33 @@ def _float(value) -> float | None:
         return None
 
 
-def _tagged(value) -> dict | None:
-    if value is None:
-        return None
+def _tagged(value) -> tuple:
+    """Kind, number, text, flag and items of a value; all None for no answer."""
     try:
         text = str(value)
     except ValueError:  # integer too long to print
-        return None
+        value = None
+    if value is None:
+        return (None,) * 5
     if isinstance(value, bool):
-        return {"kind": "bool", "num": float(value), "text": text, "flag": value, "items": None}
+        return "bool", float(value), text, value, None
     if isinstance(value, (int, float)):
-        kind = "int" if isinstance(value, int) else "float"
         number = _float(value)
-        return {"kind": kind if number is not None else "text", "num": number, "text": text, "flag": None, "items": None}
+        kind = "text" if number is None else "int" if isinstance(value, int) else "float"
+        return kind, number, text, None, None
     if isinstance(value, list):
-        head = _float(value[0]) if value else None
-        return {"kind": "list", "num": head, "text": text, "flag": None, "items": [str(v) for v in value]}
-    return {"kind": "text", "num": None, "text": text, "flag": None, "items": None}
+        return "list", _float(value[0]) if value else None, text, None, [str(v) for v in value]
+    return "text", None, text, None, None
+
+
+_ARROW_TYPES = (pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
 
 
-_ARROW_ANSWER = pa.struct(
-    [
-        ("kind", pa.string()),
-        ("num", pa.float64()),
-        ("text", pa.string()),
-        ("flag", pa.bool_()),
-        ("items", pa.list_(pa.string())),
-    ]
-)
+def _answers(values: list) -> pa.Array:
+    """Values as an Arrow array of tagged answers, null where there is none."""
+    columns = zip(*map(_tagged, values), strict=True)
+    arrays = [pa.array(c, type=t) for c, t in zip(columns, _ARROW_TYPES, strict=True)]
+    return pa.StructArray.from_arrays(arrays, ANSWER.fieldNames(), mask=arrays[0].is_null())
 
 
 def run_assignments(code: ColumnOrName, keys: tuple[str, ...] = ("ans",)) -> Column:
@@ -280,19 +275,16 @@ def run_assignments(code: ColumnOrName, keys: tuple[str, ...] = ("ans",)) -> Col
     The one step that leaves the JVM: Arrow batches holding only the code
     column. Each distinct program of a batch is run once.
     """
-    out = pa.struct([("ok", pa.bool_()), *[(k, _ARROW_ANSWER) for k in keys]])
     ddl = "struct<ok:boolean," + ",".join(f"`{k}`:{ANSWER.simpleString()}" for k in keys) + ">"
 
     @F.arrow_udf(ddl)
     def evaluate(codes: pa.Array) -> pa.Array:
         coded = codes.dictionary_encode()
-        rows = []
-        for source in coded.dictionary.to_pylist():
-            names = _run(source)
-            bound = names or {}
-            rows.append({"ok": names is not None, **{k: _tagged(bound.get(k)) for k in keys}})
-        rows.append({"ok": False, **dict.fromkeys(keys)})  # for null code
-        index = pc.fill_null(coded.indices, len(rows) - 1)
-        return pa.array(rows, type=out).take(index)
+        # one more result, of no program, for null code
+        results = [*map(_run, coded.dictionary.to_pylist()), None]
+        ok = pa.array([r is not None for r in results])
+        fields = [_answers([r.get(k) if r else None for r in results]) for k in keys]
+        index = pc.fill_null(coded.indices, len(results) - 1)
+        return pa.StructArray.from_arrays([ok, *fields], ["ok", *keys]).take(index)
 
     return evaluate(as_col(code))

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgermark.functions.common import ColumnOrName, as_col, bind, squeeze
+from ledgermark.functions.common import ColumnOrName, as_col, bind, once, squeeze
 from ledgermark.functions.numbers import canonical_number, is_number, scale_factor, to_number
 
 PUNCTUATION = string.punctuation
@@ -15,7 +15,10 @@ PUNCTUATION = string.punctuation
 # Marks beyond ASCII punctuation that token trimming removes.
 EXTRA_TRIMMED = "‘’´`_"
 
-_ARTICLES = r"(?U)\b(?:a|an|the)\b"
+# a word character as the article rule sees it: letters, digits, underscore
+_WORD = r"[\p{L}\p{N}_]"
+# the letter is tried before the look-behind, so most positions fail at once
+_ARTICLES = rf"a(?<!{_WORD}a)n?(?!{_WORD})|t(?<!{_WORD}t)he(?!{_WORD})"
 # a blank-delimited token that holds a digit; possessive, so linear in the text
 _DIGIT_TOKEN = r"(?<![^ ])[^ \d]*+\d[^ ]*+"
 _TRIMMED = "[" + "".join("\\" + ch for ch in PUNCTUATION) + "‘’´" + "]"
@@ -49,42 +52,42 @@ def split_blank(text: ColumnOrName) -> Column:
 
 def normalise_number(text: ColumnOrName) -> Column:
     """STR-6: canonical text of a numeric token; a token without a usable number stays."""
-    return bind(as_col(text), lambda t: F.when(is_number(t), F.coalesce(canonical_number(t), t)).otherwise(t))
+    return once(as_col(text), lambda t: F.when(is_number(t), F.coalesce(canonical_number(t), t)).otherwise(t))
 
 
 def normalise_answer(text: ColumnOrName) -> Column:
     """STR-7: lower case, no punctuation, canonical numbers, no articles, single blanks.
 
     Only a token with a digit can be a number, so the text is cut at those
-    tokens and the stretches between them are cleaned whole; the articles and
-    blanks are then handled in one pass over the rejoined text. Equal to
-    working token by token, at a cost that follows the text length.
+    tokens and the stretches between them are cleaned whole; text without a
+    digit is one stretch. The articles and blanks are then handled in one pass
+    over the rejoined text. Equal to working token by token, at a cost that
+    follows the text length.
     """
 
-    def clean(low: Column) -> Column:
+    def number_or_text(token: Column) -> Column:
+        return F.when(is_number(token), F.coalesce(canonical_number(token), token)).otherwise(bare(token))
+
+    def bare(text: Column) -> Column:
+        return F.translate(text, PUNCTUATION, "")
+
+    def cut(low: Column) -> Column:
         pieces = F.split(low, _DIGIT_TOKEN)
         tokens = F.regexp_extract_all(low, F.lit(f"({_DIGIT_TOKEN})"), F.lit(0))
-        joined = F.zip_with(
-            pieces,
-            tokens,
-            lambda piece, token: F.concat_ws(
-                " ",
-                F.translate(piece, PUNCTUATION, ""),
-                F.when(is_number(token), F.coalesce(canonical_number(token), token)).otherwise(
-                    F.translate(token, PUNCTUATION, "")
-                ),
-            ),
-        )
-        return F.array_join(joined, " ")
+        joined = F.zip_with(pieces, tokens, lambda piece, token: F.concat_ws(" ", bare(piece), number_or_text(token)))
+        return F.when(low.rlike(r"\d"), F.array_join(joined, " ")).otherwise(bare(low))
 
-    return squeeze(remove_articles(bind(F.lower(as_col(text)), clean)))
+    return squeeze(remove_articles(bind(F.lower(as_col(text)), cut)))
 
 
 def ws_tokens(text: ColumnOrName) -> Column:
     """STR-8: lower-cased words with punctuation trimmed from both ends; no words -> []."""
-    low = squeeze(F.lower(as_col(text)))
-    trimmed = F.regexp_replace(low, rf"(?<![^ ]){_TRIMMED}++|(?<!{_TRIMMED}){_TRIMMED}++(?![^ ])", "")
-    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
+    t = as_col(text)
+    trimmed = F.regexp_replace(
+        squeeze(F.lower(t)), rf"(?<![^ ]){_TRIMMED}++|(?<!{_TRIMMED}){_TRIMMED}++(?![^ ])", ""
+    )
+    some = t.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return F.when(some, F.split(trimmed, " ")).when(~some, F.array().cast("array<string>"))
 
 
 def fixed4(x: Column) -> Column:

@@ -9,13 +9,16 @@ from pyspark.sql import types as T
 from ledgermark.functions.answers import ANSWER, answer, flag_answer, number_answer, text_answer
 
 
-def _tagged(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StructType):
-        return F.col(name)
-    if isinstance(kind, T.BooleanType):
-        return flag_answer(name)
-    return text_answer(name) if isinstance(kind, T.StringType) else number_answer(name)
+def _parts(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+    """Kind, number and text of the answers, whether they are tagged or plain."""
+    type_, value = df.schema[name].dataType, F.col(name)
+    if isinstance(type_, T.StructType):
+        return value["kind"], value["num"], value["text"]
+    if isinstance(type_, T.StringType):
+        return F.when(value.isNotNull(), F.lit("text")), F.lit(None).cast("double"), value
+    kind = "bool" if isinstance(type_, T.BooleanType) else "float"
+    number = value.cast("int") if kind == "bool" else value
+    return F.when(value.isNotNull(), F.lit(kind)), number.cast("double"), F.lit(None).cast("string")
 
 
 def majority_vote(
@@ -39,24 +42,20 @@ def majority_vote(
     salt. The vote keys are primitive and the winner's value is rebuilt from
     them; only ``code`` travels beside the counters.
     """
-    base = samples.select(
-        F.col(id_col),
-        F.col(order_col).cast("bigint").alias("_at"),
-        _tagged(samples, answer_col).alias("_v"),
-        *([F.col(code_col).alias("_code")] if code_col else []),
-    )
-    value = F.col("_v")
-    numeric = value["kind"].isin("int", "float", "bool")
-    keyed = base.select(
+    kind, number, text = _parts(samples, answer_col)
+    numeric = kind.isin("int", "float", "bool")
+    place = F.col(order_col).cast("bigint")
+    # how the sample wrote its number: 1 flag, 2 integer, 0 float
+    form = F.when(kind == "bool", F.lit(1)).when(kind == "int", F.lit(2)).otherwise(F.lit(0))
+    keyed = samples.select(
         id_col,
-        "_at",
-        F.when(numeric, value["num"]).alias("_num"),
-        F.when(~numeric, value["text"]).alias("_text"),
-        F.when(numeric & F.isnan(value["num"]), F.col("_at")).alias("_nan"),
-        value["kind"].isNotNull().alias("_valid"),
-        # low two bits say how the sample wrote its number
-        F.when(value["kind"] == "bool", F.lit(1)).when(value["kind"] == "int", F.lit(2)).otherwise(F.lit(0)).alias("_form"),
-        *(["_code"] if code_col else []),
+        place.alias("_at"),
+        F.when(numeric, number).alias("_num"),
+        F.when(~numeric, text).alias("_text"),
+        F.when(numeric & F.isnan(number), place).alias("_nan"),
+        kind.isNotNull().alias("_valid"),
+        form.alias("_form"),
+        *([F.col(code_col).alias("_code")] if code_col else []),
     )
     tallies = keyed.groupBy(id_col, "_valid", "_num", "_text", "_nan").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -75,7 +74,6 @@ def majority_vote(
             )
         ).alias("w")
     )
-    # how the first sample wrote it: 1 flag, 2 integer, 0 float
     form = F.pmod(-F.col("w.first"), F.lit(4))
     num = F.col("w.num")
     prediction = (

@@ -126,8 +126,9 @@ def definitions(spark, sf_dir):
         "qty = ", q, "  # pieces\n", "part = ", p, "\n", both, "#no comment\nprint(qty)\nrest = 1",
     )
     items = spread(table(spark, sf_dir, "lineitem").select(*_KEYS, "l_quantity", "l_returnflag"))
-    rows = items.select(*_KEYS, q.alias("quantity"), remove_comments(code).alias("bare"))
-    kept = drop_leading_temp(rows, "bare").withColumn("d", definition_prefix("bare"))
+    # filtered before the costly columns: the optimiser would repeat those in the filter
+    rows = drop_leading_temp(items.select(*_KEYS, q.alias("quantity"), code.alias("code")))
+    kept = rows.withColumn("bare", remove_comments("code")).withColumn("d", definition_prefix("bare"))
     program = text_of("ans = ", F.col("quantity"), " / ", F.col("l_partkey") * 10)
     return kept.select(
         *_KEYS,

@@ -30,12 +30,9 @@ OPERATION_SIGNS = {
 
 def program_tokens(program: ColumnOrName) -> Column:
     """PRJ-4: ``op(``, first argument, second argument, ``)`` for each step."""
-    return F.flatten(
-        F.transform(
-            F.split(as_col(program), ", "),
-            lambda piece: F.regexp_extract_all(piece, F.lit(r"([^()]*\(|\)|[^()]+)"), F.lit(0)),
-        )
-    )
+    # a mark no token can hold stands for the separator, so one pass finds all tokens
+    marked = F.replace(as_col(program), F.lit(", "), F.lit("\x01"))
+    return F.regexp_extract_all(marked, F.lit(r"([^()\x01]*\(|\)|[^()\x01]+)"), F.lit(0))
 
 
 def program_arg(arg: ColumnOrName) -> Column:
@@ -105,10 +102,12 @@ def evaluate_program(program: ColumnOrName, table: ColumnOrName | None = None) -
     """
 
     def operand(arg: Column, done: Column) -> Column:
-        constant = F.regexp_replace(F.regexp_replace(arg, "^(?:const_|CONST_)", ""), "^[mM]", "-")
-        return F.when(
-            arg.startswith("#"), F.get(done, F.substr(arg, F.lit(2)).try_cast("int"))
-        ).otherwise(F.when(arg.rlike("^(?:const_|CONST_)"), constant).otherwise(arg).try_cast("double"))
+        constant = F.regexp_replace(F.substr(arg, F.lit(7)), "^[mM]", "-")
+        return (
+            F.when(arg.startswith("#"), F.get(done, F.substr(arg, F.lit(2)).try_cast("int")))
+            .when(arg.startswith("const_") | arg.startswith("CONST_"), constant.try_cast("double"))
+            .otherwise(arg.try_cast("double"))
+        )
 
     def apply(done: Column, step: Column) -> Column:
         op = step["op"]

@@ -26,7 +26,7 @@ from ledgermark.operators.tables import (
     to_year_rows,
 )
 from ledgermark.session import shared_dir
-from ledgermark.sources.readers import SHARD_ORDER, read_json_array, read_jsonl_tree, resume_from
+from ledgermark.sources.readers import SHARD_ORDER, read_jsonl_tree, resume_from
 from ledgermark.sources.writers import write_errors, write_json, write_predictions, write_scored_split
 from ledgermark.streaming.ingest import ingest_completions_stream, read_ingested
 
@@ -285,10 +285,10 @@ def json_props(spark, sf_dir):
 
 @query(
     """
-SELECT o_orderkey::VARCHAR AS id, o_custkey, o_orderstatus = 'O' AS is_correct, o_orderpriority AS pred_scale FROM orders"""
+SELECT o_orderkey::VARCHAR AS id, o_custkey, o_orderstatus = 'O' AS is_correct, o_orderstatus <> 'O' AS to_review, o_orderpriority AS pred_scale FROM orders"""
 )
 def io_roundtrip(spark, sf_dir):
-    """SRC-1, SRC-2, SRC-4, SNK-1..4: orders written split, resumed by id, and read back."""
+    """SRC-2, SRC-4, SNK-1..4: orders written split, resumed by id, and read back."""
     root = shared_dir(spark, "roundtrip")
     schema = "id string, o_custkey bigint, pred_scale string"
     orders = table(spark, sf_dir, "orders").select(
@@ -307,15 +307,12 @@ def io_roundtrip(spark, sf_dir):
     write_json(resume_from(orders, 0, "o_custkey"), f"{root}/all")
     flagged = read_jsonl_tree(spark, f"{root}/a", schema).withColumn("is_correct", F.col("file_path").contains("is_correct=true"))
     merged = dedup_keep_first(flagged, ["id"], SHARD_ORDER).select("id", "is_correct", "pred_scale")
-    # the same rows from the other outputs: errors plus verified, and the prediction payload
-    errors = read_json_array(spark, f"{root}/errors", "id string").select("id", F.lit(True).alias("_bad"))
+    # the other outputs, joined back by id
+    review = spark.read.schema("id string").json(f"{root}/errors").select("id", F.lit(True).alias("_review"))
     payload = spark.read.schema("id string, o_custkey bigint").json(f"{root}/predictions")
     everything = spark.read.schema("id string").json(f"{root}/all")
-    return (
-        everything.join(merged, "id", "left")
-        .join(payload, "id", "left")
-        .select("id", "o_custkey", "is_correct", "pred_scale")
-    )
+    joined = everything.join(merged, "id", "left").join(payload, "id", "left").join(review, "id", "left")
+    return joined.select("id", "o_custkey", "is_correct", F.coalesce("_review", F.lit(False)).alias("to_review"), "pred_scale")
 
 
 @query("SELECT doc_id::VARCHAR AS id, n_chars, md5(text) AS text_md5 FROM documents")

@@ -95,10 +95,13 @@ _HEAD_SQL = _sql(P.ANSWER_LAST + P.STORE_ANS + "Questions: ")
 
 @query(
     f"""
-WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user')
-SELECT conv_id, 0::BIGINT AS part, true AS is_last,
-  {_HEAD_SQL} || coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (back > 1), '') || chr(10) || 'Question: ' || max(text) FILTER (back = 1) || chr(10) || {_sql(P.CODE_MARK)} AS prompt
-FROM u GROUP BY conv_id"""
+WITH u AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+e AS (SELECT *, turn // 64 AS part, min(turn) OVER c // 64 AS first, max(turn) OVER c // 64 AS last, turn = max(turn) OVER c AS final
+      FROM u WINDOW c AS (PARTITION BY conv_id))
+SELECT conv_id, part::BIGINT AS part, part = last AS is_last, CASE WHEN part = first THEN {_HEAD_SQL} WHEN count(*) FILTER (NOT final) > 0 THEN ' ' ELSE '' END
+  || coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (NOT final), '')
+  || CASE WHEN part = last THEN chr(10) || 'Question: ' || max(text) FILTER (final) || chr(10) || {_sql(P.CODE_MARK)} ELSE '' END AS prompt
+FROM e GROUP BY conv_id, part, first, last"""
 )
 def conversation_prompts(spark, sf_dir):
     """PRM-5 over turns: each conversation's user turns as one prompt, the last question apart."""

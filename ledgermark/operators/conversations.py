@@ -12,11 +12,13 @@ def turn_prompts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", qu
     """``conv, part, is_last, prompt``: the conversation prompt, in parts of ``page_turns`` positions.
 
     The parts in order are the prompt; all but very long conversations have
-    one. Turns are gathered per part, never per conversation, and only the
-    parts (one row each) meet the conversation's first and last part number.
+    one. Copies of a turn are merged first (the smallest text stands), so a
+    part gathers at most ``page_turns`` rows however often a turn was sent, and
+    only the parts (one row each) meet the conversation's first and last part.
     """
+    single = turns.groupBy(conv, turn).agg(F.min(question).alias("_q"))
     gathered = (
-        turns.select(conv, F.floor(F.col(turn) / page_turns).cast("bigint").alias("part"), F.struct(F.col(turn).alias("t"), F.col(question).alias("q")).alias("_x"))
+        single.select(conv, F.floor(F.col(turn) / page_turns).cast("bigint").alias("part"), F.struct(F.col(turn).alias("t"), F.col("_q").alias("q")).alias("_x"))
         .groupBy(conv, "part")
         .agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
         .select(conv, "part", F.transform("_xs", lambda s: s["q"]).alias("_qs"))

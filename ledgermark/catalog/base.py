@@ -13,13 +13,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its own name, with the SQL that gives the same rows."""
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function, under its own name unless one is given, with the SQL that gives the same rows."""
 
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
+        key = name or fn.__name__
+        QUERIES[key], ORACLES[key] = fn, sql
         return fn
 
     return register

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgermark.catalog.base import cents, query, table, text_of
 from ledgermark.functions.draws import draw_key, sample_distractors, sample_years
+from ledgermark.functions.tables import gold_text as join_gold
 from ledgermark.functions.tables import (
     extract_table_block,
     payload_fields,
@@ -70,7 +71,7 @@ p AS (SELECT *, name || ' of ' || user_id || '?' AS question,
 """
 
 
-@query(_VARIANTS_SQL + "SELECT event_id::VARCHAR AS id, variant, question, program FROM p")
+@query(_VARIANTS_SQL + "SELECT event_id::VARCHAR AS id, variant, question, program FROM p", name="unpivot_qa")
 def unpivot_questions(spark, sf_dir):
     """PRJ-1: one row per question of each record."""
     return unpivot_qa(_raw_records(spark, sf_dir)).select("id", "variant", "question", "program")
@@ -84,7 +85,8 @@ SELECT event_id::VARCHAR AS id, variant, question, name || ' ' || props AS text,
   CASE WHEN whole THEN 'x0 = ' || event_id || ' - -' || user_id || '; ans = x0 / ' || user_id
        WHEN event_type = 'view' THEN 'ans = sum(view)' END AS program,
   CASE WHEN NOT whole AND event_type = 'signup' THEN 'unknown operation' END AS reason
-FROM p"""
+FROM p""",
+    name="normalise_examples",
 )
 def normalised_examples(spark, sf_dir):
     """PRJ-2..7, FLT-1: every question as a flat example, rejects with their reason."""
@@ -93,6 +95,13 @@ def normalised_examples(spark, sf_dir):
     return both.select("id", "variant", "question", "text", "table", "program", "reason")
 
 
+@query(_VARIANTS_SQL + "SELECT event_id::VARCHAR AS id, variant, name || ' ' || props AS gold FROM p")
+def gold_text(spark, sf_dir):
+    """PRJ-2: the gold passages of every question, by key, in map order."""
+    asked = unpivot_qa(_raw_records(spark, sf_dir))
+    return asked.select("id", "variant", join_gold("gold_inds").alias("gold"))
+
+
 @query(
     """
 WITH l AS (SELECT l_orderkey, l_linenumber, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS q, min(l_returnflag) AS f
@@ -186,13 +195,13 @@ def dedup_first(spark, sf_dir):
     return dedup_keep_first(union_shards(rest, final), ["o_custkey"], ["o_orderkey"])
 
 
-@query("SELECT doc_id, lang, source FROM documents ORDER BY md5('sample:' || doc_id), doc_id LIMIT 100")
+@query("SELECT doc_id, lang, source FROM documents ORDER BY md5('sample:' || doc_id), doc_id LIMIT 100", name="sample_n")
 def sample_documents(spark, sf_dir):
     """SMP-1: a hundred documents, the same ones every time."""
     return sample_n(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 100, "doc_id")
 
 
-@query("SELECT doc_id, lang, md5('shuffle:' || doc_id) AS drawn FROM documents")
+@query("SELECT doc_id, lang, md5('shuffle:' || doc_id) AS drawn FROM documents", name="shuffle")
 def shuffle_documents(spark, sf_dir):
     """SMP-2: all documents in a repeatable random order."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang")

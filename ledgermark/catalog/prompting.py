@@ -101,7 +101,8 @@ e AS (SELECT *, turn // 64 AS part, min(turn) OVER c // 64 AS first, max(turn) O
 SELECT conv_id, part::BIGINT AS part, part = last AS is_last, CASE WHEN part = first THEN {_HEAD_SQL} WHEN count(*) FILTER (NOT final) > 0 THEN ' ' ELSE '' END
   || coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (NOT final), '')
   || CASE WHEN part = last THEN chr(10) || 'Question: ' || max(text) FILTER (final) || chr(10) || {_sql(P.CODE_MARK)} ELSE '' END AS prompt
-FROM e GROUP BY conv_id, part, first, last"""
+FROM e GROUP BY conv_id, part, first, last""",
+    name="conversation_prompt",
 )
 def conversation_prompts(spark, sf_dir):
     """PRM-5 over turns: each conversation's user turns as one prompt, the last question apart."""

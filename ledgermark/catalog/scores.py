@@ -52,7 +52,7 @@ def gold(spark, sf_dir) -> DataFrame:
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    """Predictions right, off by scale, folded into the value, reordered, wrong or empty; some are missing."""
+    """Predictions right, off by scale, folded into the value, reordered, wrong or empty; promotional parts have none."""
     key = F.col("p_partkey")
     form = F.floor(key / 20) % 6
     kind, same = key % 4, _pick(SCALES, key)
@@ -67,7 +67,7 @@ def predictions(spark, sf_dir) -> DataFrame:
         .otherwise(_answers())
     )
     scale = F.when(form == 1, _pick(SCALES, key + 1)).when(form == 2, F.lit("")).otherwise(same)
-    return table(spark, sf_dir, "part").filter(key % 7 != 0).select(
+    return table(spark, sf_dir, "part").filter(F.col("p_type") != "PROMO").select(
         key.alias("uid"), pred.alias("pred"), scale.alias("pred_scale"), F.when(key % 11 != 0, _pick(OPERATORS, F.floor(key / 3))).alias("pred_op")
     )
 
@@ -86,9 +86,9 @@ WITH g AS (SELECT p_partkey AS uid, {_sql_list(_TYPES)}[p_partkey % 4 + 1] AS an
     {_sql_list(ANSWER_SOURCES)}[p_size % 3 + 1] AS answer_from, p_brand,
     {_sql_list(SCALES)}[p_partkey % 5 + 1] AS scale, {_sql_list(SCALES)}[(p_partkey + 1) % 5 + 1] AS next_scale,
     {_sql_list(OPERATORS)}[p_partkey % 10 + 1] AS gold_op,
-    CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 THEN {_sql_list(OPERATORS)}[(p_partkey // 3) % 10 + 1] END AS pred_op,
-    CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE (p_partkey // 20) % 6 END AS form,
-    p_partkey % 7 = 0 AS absent, p_partkey % 4 >= 2 AS is_number,
+    CASE WHEN p_type <> 'PROMO' AND p_partkey % 11 <> 0 THEN {_sql_list(OPERATORS)}[(p_partkey // 3) % 10 + 1] END AS pred_op,
+    CASE WHEN p_type = 'PROMO' THEN 5 ELSE (p_partkey // 20) % 6 END AS form,
+    p_type = 'PROMO' AS absent, p_partkey % 4 >= 2 AS is_number,
     CASE p_partkey % 4 WHEN 0 THEN string_split(lower(p_name), ' ')
                        ELSE [lower(p_type), lower(replace(p_brand, '#', ''))] END AS words FROM part),
 b AS (SELECT *, CASE WHEN absent THEN NULL WHEN form = 1 THEN next_scale WHEN form = 2 THEN '' ELSE scale END AS pred_scale FROM g),
@@ -139,7 +139,8 @@ _COLUMNS = [(v, v.replace("-", "_")) for v in ANSWER_SOURCES]
     _SCORED_SQL
     + "SELECT answer_type, "
     + ", ".join(f"coalesce(round(avg(em) FILTER (answer_from = '{v}') * 1000000), 0)::BIGINT AS em_{c}" for v, c in _COLUMNS)
-    + " FROM s GROUP BY answer_type"
+    + " FROM s GROUP BY answer_type",
+    name="metric_pivot",
 )
 def metric_pivot_by_source(spark, sf_dir):
     """AGG-5: mean EM by answer type and source."""
@@ -151,7 +152,8 @@ def metric_pivot_by_source(spark, sf_dir):
     _SCORED_SQL
     + "SELECT answer_type, "
     + ", ".join(f"count(em) FILTER (answer_from = '{v}') AS n_{c}" for v, c in _COLUMNS)
-    + " FROM s GROUP BY answer_type"
+    + " FROM s GROUP BY answer_type",
+    name="count_pivot",
 )
 def count_pivot_by_source(spark, sf_dir):
     """AGG-6: scored questions by answer type and source."""
@@ -163,7 +165,8 @@ def count_pivot_by_source(spark, sf_dir):
     _SCORED_SQL
     + f""", c AS (SELECT scale, sum(CASE WHEN pred_scale = scale THEN 1 ELSE 0 END)::BIGINT AS correct, count(*) AS total FROM s GROUP BY scale)
 SELECT d.scale, coalesce(correct, 0) AS correct, coalesce(total, 0) AS total, coalesce(correct * 1000000 // total, 0) AS accuracy_ppm
-FROM (SELECT unnest({_sql_list(SCALES)}) AS scale) d LEFT JOIN c ON c.scale = d.scale"""
+FROM (SELECT unnest({_sql_list(SCALES)}) AS scale) d LEFT JOIN c ON c.scale = d.scale""",
+    name="scale_breakdown",
 )
 def scale_breakdown_report(spark, sf_dir):
     """AGG-7: scale hits over the fixed scales."""
@@ -176,7 +179,8 @@ def scale_breakdown_report(spark, sf_dir):
     + f""", c AS (SELECT gold_op, sum(CASE WHEN pred_op = gold_op THEN 1 ELSE 0 END)::BIGINT AS correct, count(*) AS total
     FROM s WHERE pred_op IS NOT NULL GROUP BY gold_op)
 SELECT d.gold_op, coalesce(correct, 0) AS correct, coalesce(total, 0) AS total, coalesce(correct * 1000000 // total, 0) AS accuracy_ppm
-FROM (SELECT unnest({_sql_list(OPERATORS)}) AS gold_op) d LEFT JOIN c ON c.gold_op = d.gold_op"""
+FROM (SELECT unnest({_sql_list(OPERATORS)}) AS gold_op) d LEFT JOIN c ON c.gold_op = d.gold_op""",
+    name="op_breakdown",
 )
 def op_breakdown_report(spark, sf_dir):
     """AGG-8: operator hits over the reported operators."""

@@ -104,7 +104,8 @@ u AS (SELECT id, u FROM (SELECT id, coalesce(u, '') AS u, row_number() OVER (PAR
                          FROM s WHERE ok GROUP BY id, coalesce(u, '')) WHERE r = 1)
 SELECT ids.id AS l_orderkey, coalesce(a.a, '') AS pred,
        CASE WHEN coalesce(u.u, '') = 'none' OR contains(coalesce(a.a, ''), coalesce(u.u, '')) THEN '' ELSE coalesce(u.u, '') END AS pred_scale
-FROM ids LEFT JOIN a ON ids.id = a.id LEFT JOIN u ON ids.id = u.id"""
+FROM ids LEFT JOIN a ON ids.id = a.id LEFT JOIN u ON ids.id = u.id""",
+    name="vote_pair",
 )
 def vote_pair_units(spark, sf_dir):
     """AGG-2, EXE-7: answer and unit voted apart, then finalised."""
@@ -151,7 +152,8 @@ SELECT doc_id, (sum(hit) OVER w)::BIGINT AS correct_so_far, count(*) OVER w AS s
        (sum(hit) OVER w * 1000000 // count(*) OVER w)::BIGINT AS accuracy_ppm
 FROM (SELECT doc_id, CASE WHEN quality = (CASE WHEN n_chars > 500 THEN 1 ELSE 0 END) THEN 1 ELSE 0 END::BIGINT AS hit
       FROM labels JOIN documents USING (doc_id))
-WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)"""
+WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)""",
+    name="running_accuracy",
 )
 def running_accuracy_by_doc(spark, sf_dir):
     """WIN-2: accuracy so far, in document order."""
@@ -172,7 +174,8 @@ def running_accuracy_by_doc(spark, sf_dir):
 WITH d AS (SELECT l_returnflag, CAST(round(l_discount * 100) AS BIGINT) AS v, CAST(l_quantity AS BIGINT) AS w,
                   l_orderkey * 1024 + l_linenumber * 128 + CAST(round(l_discount * 100) AS BIGINT) AS pos FROM lineitem)
 SELECT l_returnflag, sum(v * w)::BIGINT AS weighted, sum(w)::BIGINT AS weight,
-       (sum(v * w)::BIGINT * 1000000 // sum(w)::BIGINT) AS mean_ppm, arg_max(v, pos) AS last FROM d GROUP BY l_returnflag"""
+       (sum(v * w)::BIGINT * 1000000 // sum(w)::BIGINT) AS mean_ppm, arg_max(v, pos) AS last FROM d GROUP BY l_returnflag""",
+    name="weighted_mean",
 )
 def weighted_discount(spark, sf_dir):
     """AGG-9: mean discount weighted by quantity, with the last value."""

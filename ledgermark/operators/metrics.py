@@ -122,30 +122,30 @@ def running_total(
     sparse the positions are.
     """
     keys, names = list(by or []), list(values)
+    carried = [f"_s_{n}" for n in names]
 
-    def before(window: Window) -> list[Column]:
-        preceding = window.rowsBetween(Window.unboundedPreceding, -1)
-        return [F.coalesce(F.sum(f"_s_{n}").over(preceding), F.lit(0)).alias(f"_o_{n}") for n in names]
+    def totals(window: Window) -> list[Column]:
+        return [F.coalesce(F.sum(c).over(window), F.lit(0)).alias(c) for c in carried]
 
     rows = df.select("*", *[v.alias(f"_s_{n}") for n, v in values.items()], F.floor(F.col(pos) / block).cast("bigint").alias("_b1"))
     sums, level = [rows], rows
     for i in range(1, levels + 1):
         up = [F.floor(F.col(f"_b{i}") / block).cast("bigint").alias(f"_b{i + 1}")] if i < levels else []
-        level = level.groupBy(*keys, f"_b{i}").agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in names]).select("*", *up)
+        level = level.groupBy(*keys, f"_b{i}").agg(*[F.sum(c).alias(c) for c in carried]).select("*", *up)
         sums.append(level)
-    # offsets of each block, from the top level down
-    top = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    offsets = sums[levels].select(*keys, f"_b{levels}", *before(top.orderBy(f"_b{levels}")))
+
+    # What precedes each block, from the top level down. A block's own offset enters its window
+    # as one more row ahead of the others: no joins, so the block sums are shuffled once and reused.
+    over_all = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    preceding = (Window.unboundedPreceding, -1)
+    offsets = sums[levels].select(*keys, f"_b{levels}", *totals(over_all.orderBy(f"_b{levels}").rowsBetween(*preceding)))
     for i in range(levels - 1, 0, -1):
-        inside = sums[i].select(*keys, f"_b{i}", f"_b{i + 1}", *before(Window.partitionBy(*keys, f"_b{i + 1}").orderBy(f"_b{i}")))
-        above = offsets.select(*keys, f"_b{i + 1}", *[F.col(f"_o_{n}").alias(f"_p_{n}") for n in names])
-        offsets = inside.join(above, [*keys, f"_b{i + 1}"]).select(
-            *keys, f"_b{i}", *[(F.col(f"_o_{n}") + F.col(f"_p_{n}")).alias(f"_o_{n}") for n in names]
-        )
-    upto = Window.partitionBy(*keys, "_b1").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = rows.select("*", *[F.sum(f"_s_{n}").over(upto).alias(f"_r_{n}") for n in names])
-    joined = summed.join(offsets, [*keys, "_b1"])
-    return joined.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
+        both = sums[i].unionByName(offsets, allowMissingColumns=True)
+        inside = Window.partitionBy(*keys, f"_b{i + 1}").orderBy(F.col(f"_b{i}").asc_nulls_first()).rowsBetween(*preceding)
+        offsets = both.select(*keys, f"_b{i}", *totals(inside)).filter(F.col(f"_b{i}").isNotNull())
+    both = rows.withColumn("_row", F.lit(True)).unionByName(offsets, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys, "_b1").orderBy(F.col("_row").asc_nulls_first(), pos).rowsBetween(Window.unboundedPreceding, 0)
+    return both.select("*", *[F.sum(f"_s_{n}").over(upto).alias(n) for n in names]).filter("_row").select(*df.columns, *names)
 
 
 def running_accuracy(df: DataFrame, pos: str, flag: str = "is_correct", by: list[str] | None = None, block: int = 100_000) -> DataFrame:

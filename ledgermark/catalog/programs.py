@@ -212,7 +212,7 @@ def answer_coerce(spark, sf_dir):
 
 @query(
     """
-WITH s AS (SELECT l_orderkey AS id, l_linenumber::BIGINT * 17592186044416 + l_partkey * 64 + CAST(l_quantity AS BIGINT) AS place,
+WITH s AS (SELECT l_orderkey AS id, l_linenumber % 8192::BIGINT * 70368744177664 + l_partkey * 64 + CAST(l_quantity AS BIGINT) AS place,
     CAST(l_quantity AS BIGINT) AS q, l_partkey AS p FROM lineitem),
 t AS (SELECT id, q % 3 AS a, count(*) AS n, min(place) AS first, arg_max('part_no = ' || p || chr(10) || 'qty = ' || q || chr(10) || 'ans = qty % 3' || chr(10), place) AS code FROM s GROUP BY id, q % 3),
 v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, first) AS r FROM t) WHERE r = 1)
@@ -224,7 +224,7 @@ def annotate_and_verify(spark, sf_dir):
     q = F.col("l_quantity").cast("bigint")
     completions = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).select(
         F.col("l_orderkey").cast("string").alias("id"),
-        (F.col("l_linenumber").cast("bigint") * 17592186044416 + F.col("l_partkey") * 64 + q).alias("sample_idx"),
+        (F.col("l_linenumber").cast("bigint") % 8192 * 70368744177664 + F.col("l_partkey") * 64 + q).alias("sample_idx"),
         text_of("```python\npart&no = ", F.col("l_partkey"), "\nqty = ", q, "\nans = qty % 3\n```").alias("text"),
     )
     examples = table(spark, sf_dir, "orders").select(

@@ -18,8 +18,9 @@ from ledgermark.operators.metrics import accuracy, running_accuracy, weighted_me
 from ledgermark.operators.votes import majority_vote, rank_by_logprob, vote_pair
 
 # Line numbers repeat within an order, so the sample's place in its order is packed from every
-# column the votes read: rows that share a place are the same sample.
-PLACE_SQL = """l_linenumber::BIGINT * 17592186044416 + l_partkey * 1024 + CAST(l_quantity AS BIGINT) * 8
+# column the votes read: rows that share a place are the same sample. The line number enters
+# modulo 8192, which keeps the packed value in range whatever it is.
+PLACE_SQL = """l_linenumber % 8192::BIGINT * 70368744177664 + l_partkey * 1024 + CAST(l_quantity AS BIGINT) * 8
     + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END + CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END"""
 
 
@@ -27,7 +28,7 @@ def place():
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(4)
     status = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
     return (
-        F.col("l_linenumber").cast("bigint") * 17592186044416
+        F.col("l_linenumber").cast("bigint") % 8192 * 70368744177664
         + F.col("l_partkey") * 1024
         + F.col("l_quantity").cast("bigint") * 8
         + flag

@@ -35,8 +35,9 @@ def program_tokens(program: ColumnOrName) -> Column:
 def program_arg(arg: ColumnOrName) -> Column:
     """PRJ-5: ``#n`` -> ``xn``; constants lose their prefix, a leading m is a minus."""
     named = F.replace(as_col(arg), F.lit("#"), F.lit("x"))
-    bare = F.regexp_replace(named, "const_|CONST_", "")
-    return F.when(named.rlike("const|CONST"), F.regexp_replace(bare, "^[mM]", "-")).otherwise(named)
+    bare = F.replace(F.replace(named, F.lit("const_"), F.lit("")), F.lit("CONST_"), F.lit(""))
+    signed = F.when(F.lower(F.substr(bare, F.lit(1), F.lit(1))) == "m", F.concat(F.lit("-"), F.substr(bare, F.lit(2)))).otherwise(bare)
+    return F.when(named.contains("const") | named.contains("CONST"), signed).otherwise(named)
 
 
 def program_steps(program: ColumnOrName) -> Column:
@@ -71,9 +72,9 @@ def program_to_infix(program: ColumnOrName) -> Column:
             sign = F.try_element_at(_sign_map(), step["op"])
             first = program_arg(step["a"])
             body = F.when(step["op"].contains("table"), F.concat(sign, F.lit("("), first, F.lit(")"))).otherwise(
-                F.concat_ws(" ", first, sign, program_arg(step["b"]))
+                F.concat(first, F.lit(" "), sign, F.lit(" "), program_arg(step["b"]))
             )
-            return F.when(sign.isNotNull(), F.concat(target, F.lit(" = "), body))
+            return F.concat(target, F.lit(" = "), body)  # null for an unknown operation
 
         lines = F.transform(steps, line)
         return F.when(~F.exists(lines, lambda x: x.isNull()), F.array_join(lines, "; "))

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when the input has fewer splits than the cluster has cores.
+# A split may hold no row group, so a few per core are wanted before work counts as spread.
+SPLITS_PER_CORE = 4
 
-    For heavy per-row work on one big unsplittable file. An input with enough
-    splits, which any large table has, is left as it is: no shuffle.
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows out when an input has few splits for the cluster's cores.
+
+    For heavy per-row work on an input of one or a few files. One with enough
+    splits, which any large table has, is left as it is: no shuffle. Give it a
+    scan, before any join or aggregation.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    few = scan.rdd.getNumPartitions() < cores * SPLITS_PER_CORE
+    return scan.repartition(cores) if few else scan

@@ -15,7 +15,7 @@ from ledgermark.functions.tables import (
     trim_generated_text,
     valid_payload,
 )
-from ledgermark.operators.examples import normalise_examples, split_rejects, unpivot_qa
+from ledgermark.operators.examples import normalise_examples, unpivot_qa
 from ledgermark.operators.joins import distinct_variables, replicate_formulas, without_done
 from ledgermark.operators.shards import dedup_keep_first, sample_n, shuffle_rows, union_shards
 from ledgermark.operators.tables import (
@@ -90,9 +90,8 @@ FROM p""",
 )
 def normalised_examples(spark, sf_dir):
     """PRJ-2..7, FLT-1: every question as a flat example, rejects with their reason."""
-    valid, rejects = split_rejects(normalise_examples(_raw_records(spark, sf_dir)))
-    both = union_shards(valid, rejects)
-    return both.select("id", "variant", "question", "text", "table", "program", "reason")
+    judged = normalise_examples(_raw_records(spark, sf_dir))
+    return judged.select("id", "variant", "question", "text", "table", "program", "reason")
 
 
 @query(_VARIANTS_SQL + "SELECT event_id::VARCHAR AS id, variant, name || ' ' || props AS gold FROM p")

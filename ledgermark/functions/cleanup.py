@@ -83,9 +83,9 @@ def remove_comments(code: ColumnOrName, keep_indent: bool = True) -> Column:
     kept = F.concat(F.array_join(F.filter(lines, lambda line: line != ""), "\n"), F.lit("\n"))
     if keep_indent:
         squeezed = F.regexp_replace(F.regexp_replace(kept, r"(?<=[^ \n]) +(?=\n)", ""), r"(?<=[^ \n]) {2,}", " ")
-        return F.regexp_replace(squeezed, r"^\n+|\s+$", "")
+        return F.regexp_replace(squeezed, r"^\n+|(?<!\s)\s++$", "")
     # blanks at the very ends go first, then the surrounding whitespace
-    return F.regexp_replace(F.regexp_replace(kept, " +", " "), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(kept, " +", " "), r"^\s+|(?<!\s)\s++$", "")
 
 
 def prepend_definitions(definitions: ColumnOrName, calculation: ColumnOrName) -> Column:

@@ -22,8 +22,9 @@ IGNORED_IN_NUMBERS = "'\"\\$€£¥%(),[]"
 # Precision assumed for a number whose text has no decimal point.
 DEFAULT_PRECISION = 5
 
-_DIGITS = r"\d+(?:_\d+)*"
-_FLOAT = rf"[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?)"
+# possessive, and a second run of digits only after a point: linear on long digit strings
+_DIGITS = r"\d++(?:_\d++)*+"
+_FLOAT = rf"[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?)"
 _FLOAT_OR_NAN = rf"(?:{_FLOAT}|[+-]?nan)"
 _ANY_SCALE = "(?:" + "|".join(word for word, _ in SCALE_WORDS) + ")"
 # a float, alone or followed by a word that names a scale (further words do not matter)

@@ -39,7 +39,7 @@ def _optional(value: Column) -> Column:
 
 
 def _trimmed(value: ColumnOrName) -> Column:
-    return F.regexp_replace(F.coalesce(as_col(value), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.coalesce(as_col(value), F.lit("")), r"(?U)^\s+|(?<!\s)\s++$", "")
 
 
 def _calculation(lead: str, text, table, program, question) -> Column:

@@ -23,6 +23,8 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     key that holds a third of the table costs one row per task to settle.
     """
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(first).select(*keys, "_row.*").select(*df.columns)
 

@@ -12,7 +12,7 @@ from ledgermark.functions.tables import table_line
 
 def _cells(line: Column) -> Column:
     bare = F.regexp_replace(line, r"^\|+|\|+$", "")
-    return F.transform(F.split(bare, r"\|"), lambda cell: F.regexp_replace(cell, r"^\s+|\s+$", ""))
+    return F.transform(F.split(bare, r"\|"), lambda cell: F.regexp_replace(cell, r"^\s+|(?<!\s)\s++$", ""))
 
 
 def parse_markdown_table(df: DataFrame, table_id: str = "table_id", text: str = "text", keep_last: bool = True) -> DataFrame:
@@ -22,7 +22,7 @@ def parse_markdown_table(df: DataFrame, table_id: str = "table_id", text: str =
     cell names the row and short rows are cut. A name used twice keeps its last
     cell unless ``keep_last`` is off.
     """
-    lines = F.split(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), "\n")
+    lines = F.split(F.regexp_replace(F.col(text), r"^\s+|(?<!\s)\s++$", ""), "\n")
     parts = df.select(
         table_id,
         F.transform(_cells(F.get(lines, F.lit(0))), lambda h: F.replace(h, F.lit(" "), F.lit("_"))).alias("_h"),

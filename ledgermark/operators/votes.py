@@ -30,7 +30,8 @@ def majority_vote(
 ) -> DataFrame:
     """AGG-1: ``id, prediction, votes, code`` with one row per example.
 
-    Null answers do not vote; the most frequent answer wins and a tie goes to
+    ``order_col`` is an integer below 2**61, different for each sample of an
+    example. Null answers do not vote; the most frequent answer wins and a tie goes to
     the one seen first; the code is the last sample's that gave the winner. A
     flag and the equal number are one answer, shown as the first seen; every
     NaN stands alone. An example without a usable answer gets a null
@@ -140,18 +141,24 @@ def score_logprobs(token_logprobs: str | Column) -> Column:
     )
 
 
+def sort_by_logprob(
+    completions: DataFrame, id_col: str = "id", order_col: str = "sample_idx", logprobs: str = "token_logprobs"
+) -> DataFrame:
+    """SRT-1: all samples with their ``score``, best first within each example, ties in sample order.
+
+    A range sort on example, score and sample, so one example may span tasks.
+    """
+    scored = completions.withColumn("score", score_logprobs(logprobs)).drop(logprobs)
+    return scored.orderBy(id_col, F.desc("score"), order_col)
+
+
 def rank_by_logprob(
-    completions: DataFrame,
-    top: int | None = None,
-    id_col: str = "id",
-    order_col: str = "sample_idx",
-    logprobs: str = "token_logprobs",
+    completions: DataFrame, top: int, id_col: str = "id", order_col: str = "sample_idx", logprobs: str = "token_logprobs"
 ) -> DataFrame:
-    """SRT-1: samples of each example by total log-probability, best first, ties in sample order.
+    """SRT-1: the ``top`` samples of each example with ``score`` and ``rank``.
 
-    With ``top`` the limit is applied before the shuffle as well as after it.
+    The limit is applied before the shuffle as well as after it.
     """
     scored = completions.withColumn("score", score_logprobs(logprobs)).drop(logprobs)
     order = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc(order_col))
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

@@ -13,7 +13,7 @@ from ledgermark.operators.joins import distinct_variables, join_completions, rep
 from ledgermark.operators.metrics import accuracy, running_accuracy, weighted_mean
 from ledgermark.operators.shards import dedup_keep_first, sample_n, shuffle_rows, union_shards
 from ledgermark.operators.tables import complete_tables, has_complete_series, pair_table_text, parse_markdown_table, table_pages, to_year_rows
-from ledgermark.operators.votes import majority_vote, rank_by_logprob, vote_pair
+from ledgermark.operators.votes import majority_vote, rank_by_logprob, sort_by_logprob, vote_pair
 from ledgermark.schemas import RAW_RECORD
 
 
@@ -77,7 +77,9 @@ def test_vote_pair(spark):
 
 def test_rank_by_logprob(spark):
     df = spark.createDataFrame([(0, i, [-float(i % 3), -1.0]) for i in range(9)], "id int, sample_idx int, token_logprobs array<double>")
-    assert [r["sample_idx"] for r in rank_by_logprob(df).orderBy("rank").collect()] == [0, 3, 6, 1, 4, 7, 2, 5, 8]
+    ordered = sort_by_logprob(df.repartition(3))
+    assert "Window" not in plan_of(ordered)
+    assert [r["sample_idx"] for r in ordered.collect()] == [0, 3, 6, 1, 4, 7, 2, 5, 8]
     top = rank_by_logprob(df, top=2)
     assert "WindowGroupLimit" in plan_of(top)  # limited before the shuffle
     assert top.count() == 2
@@ -150,11 +152,18 @@ def test_draws(spark):
 
 def test_joins(spark):
     many = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("row"))
-    few = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k long, v string")
-    plain = sorted(many.join(few, "k").select("k", "row", "v").collect())
-    assert sorted(salted_join(many, few, "k", "row", 4).select("k", "row", "v").collect()) == plain
-    left = sorted(many.join(few, "k", "left").select("k", "row", "v").collect(), key=str)
-    assert sorted(salted_join(many, few, "k", "row", 4, "left").select("k", "row", "v").collect(), key=str) == left
+    few = spark.sql("SELECT * FROM VALUES (0L, 'a'), (1L, 'b'), (5L, 'c') AS t(k, v)")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for how in ("inner", "left"):
+        plain = sorted(many.join(few, "k", how).select("k", "row", "v").collect(), key=str)
+        try:
+            for bytes_ in (limit, "-1"):  # broadcast, then salted
+                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bytes_)
+                joined = salted_join(many, few, "k", "row", 4, how).select("k", "row", "v")
+                assert ("_salt" in joined._jdf.queryExecution().analyzed().toString()) == (bytes_ == "-1")
+                assert sorted(joined.collect(), key=str) == plain
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert without_done(many, few, ["k"]).count() == 333
     assert join_completions(few.withColumnRenamed("k", "id"), many.withColumnRenamed("k", "id")).count() == 334 + 333 + 1
     grid = replicate_formulas(few.select("k"), 5)

@@ -81,3 +81,19 @@ def test_small_functions(spark):
     assert column(texts(spark, ["(1.5)"]), X.remove_punctuation("t")) == ["(1.5)"]
     assert column(df, X.split_blank("t")) == [["The", "cat,", "an", "(1.5)", "hat"]]
     assert column(texts(spark, [" a   b\n"]), X.fix_spaces("t")) == ["a b"]
+
+
+def test_long_runs_stay_linear(spark):
+    import time
+
+    from ledgermark.functions.cleanup import remove_comments
+    from ledgermark.functions.numbers import expand_scaled_words, is_number, to_number
+    from ledgermark.functions.prompts import qa_prompt
+
+    n = 200_000
+    runs = ["1" * n + "x", "." * n + "x", "!" * n + "x", "a" + " " * n + "b", "1." * n + "x", "1_" * n, "(" * n + "1" * n, "a#" + "=" * n, "the " * n]
+    start = time.monotonic()
+    df = texts(spark, runs)
+    cols = [X.normalise_answer("t"), F.size(X.ws_tokens("t")), is_number("t"), to_number("t"), expand_scaled_words("t"), remove_comments("t"), qa_prompt("t", "t", "t")]
+    df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).write.format("noop").mode("overwrite").save()
+    assert time.monotonic() - start < 60

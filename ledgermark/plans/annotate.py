@@ -52,11 +52,13 @@ def vote_step(examples: DataFrame, completions: DataFrame) -> DataFrame:
     if "generated" in examples.columns:
         defs = examples.select("id", F.get("generated", F.lit(0)).alias("_defs"))
         samples = samples.join(defs, "id").select("id", "sample_idx", prepend_definitions("_defs", "code").alias("code"))
+    # Wrapped, the id no longer matches the join's partitioning: the vote gets a shuffle of its own,
+    # after combining, and adaptive execution is free to split an example with very many samples.
     ran = samples.withColumn("_run", run_assignments("code")).select(
-        "id", "sample_idx", "code", coerce_answer(F.col("_run.ans")).alias("answer")
+        F.struct("id").alias("_key"), "sample_idx", "code", coerce_answer(F.col("_run.ans")).alias("answer")
     )
-    voted = majority_vote(ran).select(
-        "id", F.array("code").alias("_code"), answer_to_label("prediction").alias("executed")
+    voted = majority_vote(ran, "_key").select(
+        F.col("_key.id").alias("id"), F.array("code").alias("_code"), answer_to_label("prediction").alias("executed")
     )
     kept = [c for c in examples.columns if c != "generated"]
     joined = examples.select(*kept).join(voted, "id", "left")

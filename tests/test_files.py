@@ -117,7 +117,8 @@ def test_annotation_in_two_steps(spark):
         spark,
         [("e1", 0, "ans = sales / years"), ("e1", 1, "ans = 1"), ("e1", 2, "ans = sales / 2"), ("e2", 0, "ans = a > 3"), ("e2", 1, "import os"), ("e1", 3, "ans = nothing")],
     )
-    done = {r["id"]: r for r in vote_step(step1.drop("is_correct"), second).collect()}
+    result = vote_step(step1.drop("is_correct"), second)
+    done = {r["id"]: r for r in result.collect()}
     assert [done[k]["is_correct"] for k in ("e1", "e2", "e3")] == [True, True, False]
     assert done["e1"]["generated"] == ["sales = 5\nyears = 2\n\nans = sales / 2"]
     assert done["e2"]["executed"]["text"] == "yes" and done["e3"]["executed"] is None
@@ -138,3 +139,21 @@ def test_scaled_submission(spark):
     outputs = completions(spark, [("a", 0, "p#Python\nans = [1.5, 'b c']\nunits = 'million'"), ("b", 0, "p#Python\nans = '5 million'\nunits = 'million'\n\n"), ("c", 0, "p#Python\nans = 1 / 0"), ("d", 0, "p#Python\nans = []\nunits = 'none'")]).select("id", "sample_idx", "text")
     got = {r["uid"]: (r["pred"], r["pred_scale"]) for r in scaled_submission(outputs).collect()}
     assert got == {"a": (["1.5", "b c"], "million"), "b": (["5 million"], ""), "c": ([""], ""), "d": ([""], "")}
+
+
+def test_definitions_do_not_pin_the_vote_to_the_join(spark):
+    """A hot example's samples may be split at the join only if the vote shuffles after it."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        ready = examples(spark).withColumn("generated", F.array(F.lit("a = 1")))
+        plan = vote_step(ready, completions(spark, [("e1", 0, "ans = a")]))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # leaves last: the shuffle of the first vote stands above the Python step, which stands above the join
+    python = plan.index("ArrowEvalPython")
+    assert "hashpartitioning(_key" in plan[:python] and "SortMergeJoin" in plan[python:]
+    assert "Exchange" not in plan[python : plan.index("SortMergeJoin", python)]

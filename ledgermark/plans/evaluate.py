@@ -22,6 +22,9 @@ from ledgermark.operators.votes import majority_vote, vote_pair
 
 PERCENT_COLUMNS = ["em", "f1", "scale_em"]
 
+# one item of a printed list: a quoted string, or anything up to the next comma
+_LIST_ITEM = r"""('(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^,\s'"][^,]*)"""
+
 
 def evaluate_predictions(gold_documents: DataFrame, predictions: DataFrame, strict_compat: bool = False) -> dict[str, DataFrame]:
     """SCO-8: the scored rows and every report made from them.
@@ -73,9 +76,10 @@ def scaled_submission(outputs: DataFrame, marker: str = "#Python\n", unit: str =
         "id", "sample_idx", F.col("_r.ok").alias("ok"), F.col("_r.ans.text").alias("answer_text"), F.col(f"_r.{unit}.text").alias("unit")
     )
     voted = vote_pair(ran)
-    # a list prints as Python source; its items are read back from the text
-    body = F.regexp_extract("answer_text", r"^\[(.*)\]$", 1)
-    listed = F.col("answer_text").rlike(r"^\[.*\]$")
-    items = F.transform(F.split(body, ", "), lambda s: F.regexp_replace(s, r"^(['\"])(.*)\1$", "$2"))
-    final = finalise_scaled("answer_text", F.when(listed, F.when(body == "", F.array().cast("array<string>")).otherwise(items)), "unit")
+    # a list prints as Python source; its items are read back from the text, commas in quotes kept
+    body = F.regexp_extract("answer_text", r"(?s)^\[(.*)\]$", 1)
+    listed = F.col("answer_text").rlike(r"(?s)^\[.*\]$")
+    found = F.regexp_extract_all(body, F.lit(_LIST_ITEM), F.lit(0))
+    items = F.transform(found, lambda s: F.regexp_replace(s, r"(?s)^(['\"])(.*)\1$", "$2"))
+    final = finalise_scaled("answer_text", F.when(listed, items), "unit")
     return voted.select(F.col("id").alias("uid"), final.alias("_f")).select("uid", "_f.*")

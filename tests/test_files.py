@@ -136,9 +136,9 @@ def test_model_evaluation(spark):
 
 
 def test_scaled_submission(spark):
-    outputs = completions(spark, [("a", 0, "p#Python\nans = [1.5, 'b c']\nunits = 'million'"), ("b", 0, "p#Python\nans = '5 million'\nunits = 'million'\n\n"), ("c", 0, "p#Python\nans = 1 / 0"), ("d", 0, "p#Python\nans = []\nunits = 'none'")]).select("id", "sample_idx", "text")
+    outputs = completions(spark, [("a", 0, "p#Python\nans = [1.5, 'b, c']\nunits = 'million'"), ("b", 0, "p#Python\nans = '5 million'\nunits = 'million'\n\n"), ("c", 0, "p#Python\nans = 1 / 0"), ("d", 0, "p#Python\nans = []\nunits = 'none'")]).select("id", "sample_idx", "text")
     got = {r["uid"]: (r["pred"], r["pred_scale"]) for r in scaled_submission(outputs).collect()}
-    assert got == {"a": (["1.5", "b c"], "million"), "b": (["5 million"], ""), "c": ([""], ""), "d": ([""], "")}
+    assert got == {"a": (["1.5", "b, c"], "million"), "b": (["5 million"], ""), "c": ([""], ""), "d": ([""], "")}
 
 
 def test_definitions_do_not_pin_the_vote_to_the_join(spark):

@@ -40,12 +40,13 @@ CODE = {
     "a = 1\na += 4\nans = round(a / 3, 2)": 1.67,
     "x = [4, 5]\nans = x[-1]": 5,
     "ans = 'yes'": "yes",
+    "a = float('2.5')\nprint(a)\na\nans = int(a) + a": 4.5,
     "ans = [1.5, 'b']": [1.5, "b"],
 }
 REFUSED = [
     "import os\nans = 1", "ans = __import__('os')", "ans = (1).__class__", "ans = 9 ** 9 ** 9", "ans = 1 / 0", "ans = [0] * 10",
-    "ans = (lambda: 1)()", "ans = missing", "ans = 1 +", "while True: pass", "ans = open('x')", "ans = 'a' * 5", "a = 1\nans = a\nb = 1 / 0",
-    "ans = (-8) ** 0.5",
+    "ans = (lambda: 1)()", "ans = missing", "ans = 1 +", "while True: pass", "ans = open('x')", "ans = 1\nprint(missing)", "ans = 1\nprint(open('x'))", "ans = 'a' * 5", "a = 1\nans = a\nb = 1 / 0",
+    "ans = (-8) ** 0.5", "ans = round(5, -10 ** 9)", "a = [1]\nb = [a, a]\nans = b",
 ]
 
 

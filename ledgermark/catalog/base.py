@@ -1,4 +1,8 @@
-"""Registry of the queries and their SQL counterparts."""
+"""Registry of the queries and their SQL counterparts.
+
+Results hold whole numbers, text and flags only, and a whole number that may be
+null is shown as text, so they compare the same through any client.
+"""
 
 from __future__ import annotations
 

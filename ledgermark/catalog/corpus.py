@@ -183,12 +183,12 @@ def complete_series(spark, sf_dir):
 @query(
     """
 SELECT o_orderkey, o_custkey, o_orderstatus, cents FROM (
-  SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS cents,
+  SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(round(o_totalprice * 100) AS BIGINT)::VARCHAR END AS cents,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1"""
 )
 def dedup_first(spark, sf_dir):
     """SET-1, WIN-1: shards merged, the first order of each customer kept."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", cents("o_totalprice").alias("cents"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", cents("o_totalprice").cast("string").alias("cents"))
     final = orders.filter(F.col("o_orderstatus") == "F").drop("cents")
     rest = orders.filter(F.col("o_orderstatus") != "F")
     return dedup_keep_first(union_shards(rest, final), ["o_custkey"], ["o_orderkey"])

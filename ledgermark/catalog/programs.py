@@ -69,19 +69,19 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        WHEN l_returnflag = 'N' THEN NULL WHEN l_linenumber < 5 THEN 'float' END AS kind,
   CASE WHEN l_returnflag = 'A' THEN ((l_partkey - l_suppkey) * l_linenumber - 1) * 10000
        WHEN l_returnflag = 'N' AND l_linenumber < 5 THEN CASE WHEN l_partkey + 100 > l_suppkey * 10 THEN 10000 ELSE 0 END
-       WHEN l_returnflag = 'N' THEN NULL WHEN l_linenumber < 5 THEN l_linenumber * l_linenumber * 2500 END::BIGINT AS value_e4
+       WHEN l_returnflag = 'N' THEN NULL WHEN l_linenumber < 5 THEN l_linenumber * l_linenumber * 2500 END::BIGINT::VARCHAR AS value_e4
 FROM lineitem"""
 )
 def program_eval(spark, sf_dir):
     """EXE-1: every program's answer, null where it fails."""
     done = _programs(spark, sf_dir).select(*_KEYS, evaluate_program("program").alias("a"))
-    return done.select(*_KEYS, F.col("a.kind").alias("kind"), scaled(F.col("a.num"), 10000).alias("value_e4"))
+    return done.select(*_KEYS, F.col("a.kind").alias("kind"), scaled(F.col("a.num"), 10000).cast("string").alias("value_e4"))
 
 
 @query(
     """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'int' WHEN 'P' THEN 'bool' END AS kind,
-  CASE o_orderstatus WHEN 'O' THEN (o_orderkey + o_custkey) * 2 - 2 + greatest(o_orderkey, o_custkey) WHEN 'P' THEN CASE WHEN o_orderkey > o_custkey THEN 1 ELSE 0 END END::BIGINT AS value,
+  CASE o_orderstatus WHEN 'O' THEN (o_orderkey + o_custkey) * 2 - 2 + greatest(o_orderkey, o_custkey) WHEN 'P' THEN CASE WHEN o_orderkey > o_custkey THEN 1 ELSE 0 END END::BIGINT::VARCHAR AS value,
   o_orderstatus <> 'F' AS ok
 FROM orders"""
 )
@@ -97,7 +97,7 @@ def assignment_eval(spark, sf_dir):
     orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
     ran = orders.select("o_orderkey", run_assignments(code).alias("r"))
     return ran.select(
-        "o_orderkey", F.col("r.ans.kind").alias("kind"), F.col("r.ans.num").cast("bigint").alias("value"), F.col("r.ok").alias("ok")
+        "o_orderkey", F.col("r.ans.kind").alias("kind"), F.col("r.ans.num").cast("bigint").cast("string").alias("value"), F.col("r.ok").alias("ok")
     )
 
 
@@ -171,14 +171,14 @@ def clean_completion(spark, sf_dir):
 WITH c AS (SELECT c_custkey, abs(CAST(round(c_acctbal * 100) AS BIGINT)) AS c, c_custkey % 7 AS form, c_mktsegment AS seg FROM customer)
 SELECT c_custkey,
   CASE form WHEN 4 THEN 'bool' WHEN 3 THEN 'text' WHEN 5 THEN NULL ELSE 'float' END AS kind,
-  CASE form WHEN 0 THEN c // 100 * 100 WHEN 6 THEN 700 WHEN 3 THEN NULL WHEN 4 THEN CASE WHEN c > 500000 THEN 100 ELSE 0 END WHEN 5 THEN NULL ELSE c END::BIGINT AS value_e2,
+  CASE form WHEN 0 THEN c // 100 * 100 WHEN 6 THEN 700 WHEN 3 THEN NULL WHEN 4 THEN CASE WHEN c > 500000 THEN 100 ELSE 0 END WHEN 5 THEN NULL ELSE c END::BIGINT::VARCHAR AS value_e2,
   CASE form WHEN 3 THEN seg WHEN 4 THEN CASE WHEN c > 500000 THEN 'True' END WHEN 6 THEN '7' WHEN 5 THEN NULL
        WHEN 0 THEN CASE WHEN c // 100 <> 0 THEN (c // 100)::VARCHAR END
        WHEN 2 THEN (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0')
        ELSE CASE WHEN c <> 0 THEN (c / 100.0)::DOUBLE::VARCHAR END END AS simple,
   CASE form WHEN 3 THEN 'answer is text' WHEN 5 THEN 'no answer' END AS reason,
-  CASE WHEN form IN (4, 5) THEN NULL WHEN form IN (1, 2) THEN c % 10 <> 0 ELSE true END AS shown,
-  CASE WHEN form IN (0, 1, 2, 6) THEN CASE form WHEN 0 THEN round_even(c // 100 / 100.0::DOUBLE, 0) WHEN 6 THEN 0 ELSE round_even(c / 10000.0::DOUBLE, 0) END * 100 END::BIGINT AS hundreds
+  CASE WHEN form IN (4, 5) THEN NULL WHEN form IN (1, 2) THEN c % 10 <> 0 ELSE true END::VARCHAR AS shown,
+  CASE WHEN form IN (0, 1, 2, 6) THEN CASE form WHEN 0 THEN round_even(c // 100 / 100.0::DOUBLE, 0) WHEN 6 THEN 0 ELSE round_even(c / 10000.0::DOUBLE, 0) END * 100 END::BIGINT::VARCHAR AS hundreds
 FROM c"""
 )
 def answer_coerce(spark, sf_dir):
@@ -202,11 +202,11 @@ def answer_coerce(spark, sf_dir):
     return ans.select(
         "c_custkey",
         F.col("a.kind").alias("kind"),
-        scaled(F.col("a.num"), 100).alias("value_e2"),
+        scaled(F.col("a.num"), 100).cast("string").alias("value_e2"),
         simplify_answer("v").alias("simple"),
         label_reject_reason("a").alias("reason"),
-        F.when(numeric | (F.col("a.kind") == "text"), answer_matches_display("s", "a")).alias("shown"),
-        F.when(numeric, round_n("a.num", F.lit(-2))).cast("bigint").alias("hundreds"),
+        F.when(numeric | (F.col("a.kind") == "text"), answer_matches_display("s", "a")).cast("string").alias("shown"),
+        F.when(numeric, round_n("a.num", F.lit(-2))).cast("bigint").cast("string").alias("hundreds"),
     )
 
 
@@ -216,7 +216,7 @@ WITH s AS (SELECT l_orderkey AS id, l_linenumber % 8192::BIGINT * 70368744177664
     CAST(l_quantity AS BIGINT) AS q, l_partkey AS p FROM lineitem),
 t AS (SELECT id, q % 3 AS a, count(*) AS n, min(place) AS first, arg_max('part_no = ' || p || chr(10) || 'qty = ' || q || chr(10) || 'ans = qty % 3' || chr(10), place) AS code FROM s GROUP BY id, q % 3),
 v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, first) AS r FROM t) WHERE r = 1)
-SELECT o_orderkey::VARCHAR AS id, coalesce(code, '') AS generated, a::BIGINT AS executed, coalesce(a = o_orderkey % 3, false) AS is_correct
+SELECT o_orderkey::VARCHAR AS id, coalesce(code, '') AS generated, a::VARCHAR AS executed, coalesce(a = o_orderkey % 3, false) AS is_correct
 FROM orders LEFT JOIN v ON v.id = o_orderkey"""
 )
 def annotate_and_verify(spark, sf_dir):
@@ -231,7 +231,7 @@ def annotate_and_verify(spark, sf_dir):
         F.col("o_orderkey").cast("string").alias("id"), F.try_parse_json((F.col("o_orderkey") % 3).cast("string")).alias("answer")
     )
     done = vote_step(examples, completions)
-    return done.select("id", F.get("generated", F.lit(0)).alias("generated"), F.col("executed.num").cast("bigint").alias("executed"), "is_correct")
+    return done.select("id", F.get("generated", F.lit(0)).alias("generated"), F.col("executed.num").cast("bigint").cast("string").alias("executed"), "is_correct")
 
 
 @query(

@@ -66,9 +66,9 @@ SELECT c_custkey,
             WHEN 3 THEN '-' || (c // 100) || ' thousand'
             WHEN 4 THEN (c // 100) || ' of ' || c_nationkey ELSE 'no figure' END AS cleaned,
   form < 4 AS numeric,
-  CASE form WHEN 3 THEN -(c // 100) * 100 WHEN 4 THEN c_nationkey * 100 WHEN 5 THEN NULL ELSE c END AS last_cents,
-  CASE form WHEN 0 THEN c * 100000000 WHEN 1 THEN -c * 100 WHEN 2 THEN c WHEN 3 THEN -(c // 100) * 10000000
-            WHEN 4 THEN c_nationkey * 10000 END AS value_e4,
+  (CASE form WHEN 3 THEN -(c // 100) * 100 WHEN 4 THEN c_nationkey * 100 WHEN 5 THEN NULL ELSE c END)::VARCHAR AS last_cents,
+  (CASE form WHEN 0 THEN c * 100000000 WHEN 1 THEN -c * 100 WHEN 2 THEN c WHEN 3 THEN -(c // 100) * 10000000
+            WHEN 4 THEN c_nationkey * 10000 END)::VARCHAR AS value_e4,
   CASE form WHEN 1 THEN -1 ELSE 1 END AS sign,
   (CASE form WHEN 0 THEN 1000000 WHEN 3 THEN 1000 ELSE 1 END)::BIGINT AS scale,
   (CASE form WHEN 2 THEN 1 ELSE 100 END)::BIGINT AS percent_e2
@@ -92,8 +92,8 @@ def number_parse(spark, sf_dir):
         "c_custkey",
         clean_num("t").alias("cleaned"),
         is_number("t").alias("numeric"),
-        scaled(last_number("t"), 100).alias("last_cents"),
-        scaled(to_number("t"), 10000).alias("value_e4"),
+        scaled(last_number("t"), 100).cast("string").alias("last_cents"),
+        scaled(to_number("t"), 10000).cast("string").alias("value_e4"),
         sign_of("t").alias("sign"),
         word_scale("t").cast("bigint").alias("scale"),
         scaled(percent_factor("t"), 100).alias("percent_e2"),

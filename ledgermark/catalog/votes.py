@@ -57,7 +57,7 @@ v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DES
 @query(
     _VOTES_SQL
     + """
-SELECT o_orderkey, a AS prediction, coalesce(n, 0) AS votes, coalesce(code, '') AS code
+SELECT o_orderkey, a::VARCHAR AS prediction, coalesce(n, 0) AS votes, coalesce(code, '') AS code
 FROM orders LEFT JOIN v ON o_orderkey = v.id"""
 )
 def vote_majority(spark, sf_dir):
@@ -66,7 +66,7 @@ def vote_majority(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     return orders.join(voted, "id", "left").select(
         F.col("id").alias("o_orderkey"),
-        F.col("prediction.num").cast("bigint").alias("prediction"),
+        F.col("prediction.num").cast("bigint").cast("string").alias("prediction"),
         F.coalesce("votes", F.lit(0)).cast("bigint").alias("votes"),
         F.coalesce("code", F.lit("")).alias("code"),
     )

@@ -36,9 +36,9 @@ from ledgermark.llm.shared import portions, schema_with, with_columns, worker_ca
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Transitions and stretches of text a worker keeps before it starts afresh.
-KEPT_TRANSITIONS = 600_000
-KEPT_PIECES = 300_000
-KEPT_STRETCHES = 400_000
+KEPT_TRANSITIONS = 300_000
+KEPT_PIECES = 200_000
+KEPT_STRETCHES = 250_000
 #: Longer stretches are encoded each time they occur.
 LONGEST_KEPT = 64
 

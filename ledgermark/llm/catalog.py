@@ -6,7 +6,16 @@ from importlib import import_module
 
 from ledgermark.catalog.base import Query
 
-_MODULES = ("bpe_query",)
+_MODULES = (
+    "fixity_query",
+    "order_minhash_query",
+    "quality_query",
+    "chunks_query",
+    "mixing_query",
+    "url_lists_query",
+    "near_dups_query",
+    "bpe_query",
+)
 
 
 def queries() -> dict[str, Query]:

@@ -10,6 +10,8 @@ _MODULES = (
     "fixity_query",
     "order_minhash_query",
     "quality_query",
+    "language_query",
+    "separators_query",
     "chunks_query",
     "mixing_query",
     "url_lists_query",

@@ -150,6 +150,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     Adds ``n_chunks``, ``n_repeated`` (chunks), ``removed`` (spans of the original
     text in characters); columns so named are replaced.
     """
+    docs = docs.drop("_id", "_repeated")
     digests = chunk_digests(docs, key, text)
     found = repeats(saved(digests, "chunks")).withColumnRenamed("id", "_id").withColumnRenamed("digests", "_repeated")
     rows = docs.withColumn("_id", _id(key)).join(found, "_id", "left").drop("_id")

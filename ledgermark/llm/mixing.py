@@ -83,10 +83,12 @@ def mix(
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``.
 
     ``docs`` holds ``source`` and ``text``, or ``size`` already; all its other
-    columns are carried. ``sized`` (``key``, ``source``, ``size``) may hold the same
+    columns are carried, but for those named as the ones added or as the
+    helpers ``_source, _class, _part, _head, _at, _of``. ``sized`` (``key``, ``source``, ``size``) may hold the same
     rows, counted before. The offset of a source is a digest of ``seed`` and
     its name, so a rerun takes the same copies.
     """
+    docs = docs.drop("_source", "_class", "_part", "_head", "_at", "_of")
     names = docs.columns
     if "size" not in names:
         docs = docs.withColumn("size", size_of(F.col("text")))
@@ -135,7 +137,7 @@ def mixture_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def emit(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The mixed corpus: every document as often as it is taken."""
-    names = docs.columns
-    rows = mix(docs, None, key).filter(F.col("copies") > 0)
+    """The mixed corpus: every document as often as it is taken. Columns ``size, source_size, target, copies`` are dropped."""
+    rows = mix(docs.drop("size"), None, key).filter(F.col("copies") > 0)
+    names = [n for n in rows.columns if n not in ("size", "source_size", "target", "copies")]
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)

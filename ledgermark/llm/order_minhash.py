@@ -39,11 +39,11 @@ def _hash_part(packed: Column) -> Column:
 def with_signature(df: DataFrame, text: str, out: str, k: int = K, length: int = LENGTH, size: int = SIZE) -> DataFrame:
     """Add the signature of ``text``: an array of ``size`` hashes of 32 bits.
 
-    Intermediate columns start with ``_omh``; columns so named are replaced.
+    A column named ``out`` is replaced; columns that start with ``_omh_`` are dropped.
     """
     c = F.col
     bits = size.bit_length() - 1
-    kept = [n for n in df.columns if n != out]
+    kept = [n for n in df.columns if n != out and not n.startswith("_omh_")]
     df = df.withColumn("_omh_words", F.transform(words_of(c(text)), lambda w: F.xxhash64(w)))
     runs = F.transform(
         F.sequence(F.lit(0), F.size("_omh_words") - k), lambda i: F.xxhash64(*[F.get(c("_omh_words"), i + j) for j in range(k)])

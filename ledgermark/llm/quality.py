@@ -35,7 +35,10 @@ LEAST = {"symbols": 5.0, "word_length": 0.4, "dup_lines": 10.0, "repeats": 12.0}
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed``."""
+    """Add ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed``.
+
+    Columns so named are replaced; columns that start with ``_q_`` are dropped.
+    """
     c, own = F.col, F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_q_words", words_of(c(text))).withColumn("_q_n", F.size("_q_words"))
     lines = F.filter(F.split(own, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -79,7 +82,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": repeated,
         "n_lines": F.size("_q_lines"),
     }
-    kept = [n for n in docs.columns if n not in counts and n != "base_failed"]
+    kept = [n for n in docs.columns if n not in counts and n != "base_failed" and not n.startswith("_q_")]
     df = df.select(*kept, *[v.cast("bigint").alias(n) for n, v in counts.items()])
     return df.withColumn("base_failed", (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words")))
 
@@ -156,6 +159,7 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for name, rate in rates().items():
         inside = inside & rate.between(F.col(f"fence.{name}.low"), F.col(f"fence.{name}.high"))
+    counted = counted.drop("_lang", "_source", "fence", "kept")
     keyed = counted.withColumn("_lang", _name("lang")).withColumn("_source", _name("source"))
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence")
     joined = keyed.join(limits, ["_lang", "_source"], "left")

@@ -2,9 +2,11 @@
 
 A gear hash rolls over the bytes of each text: every step doubles it and adds a
 number fixed for the byte, so it depends on the last ``WINDOW`` bytes only. A
-chunk ends where its top bits are zero. So the same passage is cut alike
-wherever it stands, after one window and one chunk, and an insertion shifts
-nothing behind it. Chunks are ``SHORTEST`` to ``LONGEST`` bytes.
+chunk ends where it falls into the lowest of ``SPACING`` parts of its range and
+has not done so in the ``SHORTEST`` bytes before. That depends on the bytes near
+by alone, so the same passage is cut alike wherever it stands, after one window
+and one chunk, and an insertion shifts nothing behind it. A stretch without an
+end is cut every ``LONGEST`` bytes.
 
 A chunk is a repeat if its digest occurs in a document of smaller id, or
 earlier in its own. Runs of repeats that hold ``MIN_WORDS`` words or more are
@@ -16,7 +18,7 @@ Two shuffles hold eight bytes of digest and the id for each distinct chunk of a
 document; the first adds up before it shuffles, and a very common chunk is
 split in the second by the skew join. A document receives at most its own
 chunks back. At 10**12 chunks some thousand 64-bit digests agree by chance;
-a run of 20 words takes several in a row.
+a run of 12 words takes several in a row.
 
 Null and empty texts have no chunks and stay as they are. Rows that share an
 id count as one document for each other. A null id comes before all others.
@@ -39,10 +41,10 @@ from ledgermark.llm.shingles import byte_codes, is_blank, stretch_hashes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 16
-BITS = 5
-SHORTEST = 12
+SPACING = 24
+SHORTEST = 8
 LONGEST = 128
-MIN_WORDS = 20
+MIN_WORDS = 12
 
 
 def gear() -> np.ndarray:
@@ -64,8 +66,12 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         shifted[age < width] = 0
         rolled = rolled + (shifted << np.uint32(width))
         width *= 2
-    cuts = np.flatnonzero(rolled >> np.uint32(32 - BITS) == 0) + 1
-    ends = np.searchsorted(cuts, offsets).tolist()
+    cuts = np.flatnonzero(rolled < np.uint32((1 << 32) // SPACING)) + 1
+    owner = np.searchsorted(offsets, cuts - 1, "right")
+    lone = np.ones(len(cuts), bool)
+    lone[1:] = (np.diff(cuts) > SHORTEST) | (np.diff(owner) > 0)
+    cuts = cuts[lone]
+    ends = np.searchsorted(cuts, offsets, "right").tolist()
     listed, chunks, firsts = cuts.tolist(), [], []
     for i in range(len(offsets) - 1):
         at, stop = int(offsets[i]), int(offsets[i + 1])
@@ -77,7 +83,7 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             while cut - at > LONGEST:
                 at += LONGEST
                 chunks.append(at)
-            if cut - at >= SHORTEST and cut < stop:
+            if cut < stop:
                 at = cut
                 chunks.append(at)
     firsts.append(len(chunks))

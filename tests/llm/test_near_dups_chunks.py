@@ -76,16 +76,17 @@ def test_components_of_chains_and_stars(spark):
 
 def gear_cuts(data: bytes) -> list[tuple[int, int]]:
     """Chunk spans of one text, byte by byte."""
-    table, spans, at = chunks.gear().tolist(), [], 0
+    table, spans, at, last = chunks.gear().tolist(), [], 0, -chunks.LONGEST
     for i in range(len(data)):
-        window = data[max(0, i - chunks.WINDOW + 1) : i + 1]
         rolled = 0
-        for b in window:
+        for b in data[max(0, i - chunks.WINDOW + 1) : i + 1]:
             rolled = (rolled * 2 + table[b]) % 2**32
-        size = i + 1 - at
-        if (rolled >> (32 - chunks.BITS) == 0 and size >= chunks.SHORTEST and i + 1 < len(data)) or size == chunks.LONGEST and i + 1 < len(data):
+        low = rolled < (1 << 32) // chunks.SPACING
+        if (low and i - last > chunks.SHORTEST or i + 1 - at == chunks.LONGEST) and i + 1 < len(data):
             spans.append((at, i + 1))
             at = i + 1
+        if low:
+            last = i
     return [*spans, (at, len(data))] if data else spans
 
 

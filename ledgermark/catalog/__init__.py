@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ledgermark.catalog.base import ORACLES, QUERIES, Query
 
-_MODULES = ("votes", "texts", "scores", "programs", "corpus", "prompting")
+_MODULES = ("votes", "texts", "scores", "programs", "corpus", "prompting", "flows")
 
 
 def _load() -> None:

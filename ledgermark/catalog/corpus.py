@@ -23,11 +23,11 @@ from ledgermark.operators.tables import (
     has_complete_series,
     pair_table_text,
     parse_markdown_table,
-    table_pages,
+    table_lines,
     to_year_rows,
 )
 from ledgermark.session import shared_dir
-from ledgermark.sources.readers import SHARD_ORDER, read_jsonl_tree, resume_from
+from ledgermark.sources.readers import SHARD_ORDER, read_jsonl_tree
 from ledgermark.sources.writers import write_errors, write_json, write_predictions, write_scored_split
 from ledgermark.streaming.ingest import ingest_completions_stream, read_ingested
 
@@ -105,9 +105,7 @@ def gold_text(spark, sf_dir):
     """
 WITH l AS (SELECT l_orderkey, l_linenumber, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS q, min(l_returnflag) AS f
            FROM lineitem GROUP BY l_orderkey, l_linenumber)
-SELECT l_orderkey, (l_linenumber // 64)::BIGINT AS page,
-  string_agg('line ' || l_linenumber || ' | ' || n || ' | ' || q || ' | ' || CASE f WHEN 'N' THEN '-' ELSE f END || chr(10), '' ORDER BY l_linenumber) AS table
-FROM l GROUP BY l_orderkey, l_linenumber // 64"""
+SELECT l_orderkey, l_linenumber, 'line ' || l_linenumber || ' | ' || n || ' | ' || q || ' | ' || CASE f WHEN 'N' THEN '-' ELSE f END || chr(10) AS line FROM l"""
 )
 def linearise_order(spark, sf_dir):
     """PRJ-3 over rows: an order's lines as table text, repeated line numbers merged first."""
@@ -117,7 +115,7 @@ def linearise_order(spark, sf_dir):
     cells = F.array(
         text_of("line ", F.col("l_linenumber")), F.col("n").cast("string"), F.col("q").cast("string"), F.when(F.col("f") == "N", F.lit("")).otherwise(F.col("f"))
     )
-    return table_pages(lines, ["l_orderkey"], "l_linenumber", cells)
+    return table_lines(lines, ["l_orderkey"], "l_linenumber", cells)
 
 
 YEARS = tuple(range(1995, 2002))
@@ -296,7 +294,7 @@ def json_props(spark, sf_dir):
 SELECT o_orderkey::VARCHAR AS id, o_custkey, o_orderstatus = 'O' AS is_correct, o_orderstatus <> 'O' AS to_review, o_orderpriority AS pred_scale FROM orders"""
 )
 def io_roundtrip(spark, sf_dir):
-    """SRC-2, SRC-4, SNK-1..4: orders written split, resumed by id, and read back."""
+    """SRC-2, SNK-1..4: orders written split, resumed by id, and read back."""
     root = shared_dir(spark, "roundtrip")
     schema = "id string, o_custkey bigint, pred_scale string"
     orders = table(spark, sf_dir, "orders").select(
@@ -312,7 +310,7 @@ def io_roundtrip(spark, sf_dir):
     write_scored_split(left, f"{root}/a/second")
     write_errors(orders, f"{root}/errors")
     write_predictions(orders, f"{root}/predictions", key="id", payload=("o_custkey", "pred_scale"))
-    write_json(resume_from(orders, 0, "o_custkey"), f"{root}/all")
+    write_json(orders, f"{root}/all")
     flagged = read_jsonl_tree(spark, f"{root}/a", schema).withColumn("is_correct", F.col("file_path").contains("is_correct=true"))
     merged = dedup_keep_first(flagged, ["id"], SHARD_ORDER).select("id", "is_correct", "pred_scale")
     # the other outputs, joined back by id

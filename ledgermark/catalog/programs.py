@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgermark.catalog.base import cents, query, scaled, table, text_of
+from ledgermark.catalog.votes import digits
 from ledgermark.functions.answers import (
     answer_from_variant,
     answer_matches_display,
@@ -25,7 +26,6 @@ from ledgermark.functions.cleanup import (
 from ledgermark.functions.numbers import round_n
 from ledgermark.functions.programs import evaluate_program, program_to_infix, run_assignments
 from ledgermark.operators.examples import drop_leading_temp
-from ledgermark.operators.layout import spread
 from ledgermark.plans.annotate import vote_step
 from ledgermark.plans.evaluate import scaled_submission
 
@@ -44,7 +44,7 @@ def _programs(spark, sf_dir):
         .when(ln == 5, text_of("table_max(row ", ln, ", none)"))
         .otherwise(text_of("modulo(", ln, ", 2)"))
     )
-    return spread(table(spark, sf_dir, "lineitem").select(*_KEYS, "l_returnflag")).select(*_KEYS, program.alias("program"))
+    return table(spark, sf_dir, "lineitem").select(*_KEYS, "l_returnflag").select(*_KEYS, program.alias("program"))
 
 
 @query(
@@ -94,7 +94,7 @@ def assignment_eval(spark, sf_dir):
         .otherwise(F.lit("```python\nimport os\nans = 1\n```"))
     )
     code = prepend_definitions(definitions, sanitise_code(strip_fences(calculation)))
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     ran = orders.select("o_orderkey", run_assignments(code).alias("r"))
     return ran.select(
         "o_orderkey", F.col("r.ans.kind").alias("kind"), F.col("r.ans.num").cast("bigint").cast("string").alias("value"), F.col("r.ok").alias("ok")
@@ -125,7 +125,7 @@ def definitions(spark, sf_dir):
         F.when(flag == "R", F.lit("x0 = 1\n")).otherwise(F.lit("")),
         "qty = ", q, "  # pieces\n", "part = ", p, "\n", both, "#no comment\nprint(qty)\nrest = 1",
     )
-    items = spread(table(spark, sf_dir, "lineitem").select(*_KEYS, "l_quantity", "l_returnflag"))
+    items = table(spark, sf_dir, "lineitem").select(*_KEYS, "l_quantity", "l_returnflag")
     # filtered before the costly columns: the optimiser would repeat those in the filter
     rows = drop_leading_temp(items.select(*_KEYS, q.alias("quantity"), code.alias("code")))
     kept = rows.withColumn("bare", remove_comments("code")).withColumn("d", definition_prefix("bare"))
@@ -147,7 +147,7 @@ def definitions(spark, sf_dir):
     """
 WITH c AS (SELECT conv_id, turn, replace(text, chr(10) || chr(10), chr(10)) AS t FROM conversations)
 SELECT conv_id, turn, CASE WHEN contains(t, '```') THEN split_part(t, '```', 1) ELSE t END AS fenced, t AS marked,
-  'def solver():' || chr(10) || string_split(t, chr(10))[1] || chr(10) || '    ' || role || chr(10) || 'ans = solver()' AS body
+  'def solver():' || chr(10) || replace(t, chr(10), chr(10) || '    ') || chr(10) || '    ' || role || chr(10) || 'ans = solver()' AS body
 FROM c JOIN conversations USING (conv_id, turn)"""
 )
 def clean_completion(spark, sf_dir):
@@ -156,7 +156,7 @@ def clean_completion(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", plain.alias("t"))
     marked = text_of("prompt #Python:\nexample\n\n#Python:\n", F.col("t"), "\n\nand more")
     fenced = text_of("```python\nfirst```python\n", F.col("t"), "```tail")
-    body = text_of(F.get(F.split("t", "\n"), F.lit(0)), "\n    ", F.col("role"), "\nrest\n    more")
+    body = text_of(F.replace(F.col("t"), F.lit("\n"), F.lit("\n    ")), "\n    ", F.col("role"), "\nrest\n    more")
     return rows.select(
         "conv_id",
         "turn",
@@ -212,7 +212,7 @@ def answer_coerce(spark, sf_dir):
 
 @query(
     """
-WITH s AS (SELECT l_orderkey AS id, l_linenumber % 8192::BIGINT * 70368744177664 + l_partkey * 64 + CAST(l_quantity AS BIGINT) AS place,
+WITH s AS (SELECT l_orderkey AS id, l_linenumber::DECIMAL(38,0) * 10000000000000000 + l_partkey * 1000 + CAST(l_quantity AS BIGINT) AS place,
     CAST(l_quantity AS BIGINT) AS q, l_partkey AS p FROM lineitem),
 t AS (SELECT id, q % 3 AS a, count(*) AS n, min(place) AS first, arg_max('part_no = ' || p || chr(10) || 'qty = ' || q || chr(10) || 'ans = qty % 3' || chr(10), place) AS code FROM s GROUP BY id, q % 3),
 v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, first) AS r FROM t) WHERE r = 1)
@@ -220,11 +220,11 @@ SELECT o_orderkey::VARCHAR AS id, coalesce(code, '') AS generated, a::VARCHAR AS
 FROM orders LEFT JOIN v ON v.id = o_orderkey"""
 )
 def annotate_and_verify(spark, sf_dir):
-    """The annotation flow: clean the samples, run them, vote, compare with the answer (JON-2, CLN, EXE, AGG-1, NUM-2)."""
+    """The annotation flow: clean the samples, run them, vote, compare with the answer (CLN, EXE, AGG-1, NUM-2)."""
     q = F.col("l_quantity").cast("bigint")
-    completions = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).select(
+    completions = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").select(
         F.col("l_orderkey").cast("string").alias("id"),
-        (F.col("l_linenumber").cast("bigint") % 8192 * 70368744177664 + F.col("l_partkey") * 64 + q).alias("sample_idx"),
+        digits((F.col("l_linenumber"), 16), (F.col("l_partkey"), 3), (q, 0)).alias("sample_idx"),
         text_of("```python\npart&no = ", F.col("l_partkey"), "\nqty = ", q, "\nans = qty % 3\n```").alias("text"),
     )
     examples = table(spark, sf_dir, "orders").select(
@@ -254,7 +254,7 @@ def scaled_predictions(spark, sf_dir):
     )
     value = F.when(number == 3, F.lit("['c million', 'd']")).otherwise(number.cast("string"))
     fault = F.when(F.col("o_orderstatus") == "F", F.lit("\nx = missing")).otherwise(F.lit(""))
-    outputs = spread(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")).select(
+    outputs = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus").select(
         F.col("o_custkey").alias("id"),
         F.col("o_orderkey").alias("sample_idx"),
         text_of("question\n#Python\nans = ", value, unit, fault, "\n\nmore").alias("text"),

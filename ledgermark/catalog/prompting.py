@@ -95,17 +95,15 @@ _HEAD_SQL = _sql(P.ANSWER_LAST + P.STORE_ANS + "Questions: ")
 
 @query(
     f"""
-WITH u AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
-e AS (SELECT *, turn // 64 AS part, min(turn) OVER c // 64 AS first, max(turn) OVER c // 64 AS last, turn = max(turn) OVER c AS final
-      FROM u WINDOW c AS (PARTITION BY conv_id))
-SELECT conv_id, part::BIGINT AS part, part = last AS is_last, CASE WHEN part = first THEN {_HEAD_SQL} WHEN count(*) FILTER (NOT final) > 0 THEN ' ' ELSE '' END
-  || coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (NOT final), '')
-  || CASE WHEN part = last THEN chr(10) || 'Question: ' || max(text) FILTER (final) || chr(10) || {_sql(P.CODE_MARK)} ELSE '' END AS prompt
-FROM e GROUP BY conv_id, part, first, last""",
+WITH u AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user'),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS place, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r,
+      count(*) OVER (PARTITION BY conv_id) AS n FROM u)
+SELECT conv_id, turn, place::INTEGER AS place, r = 1 AS is_first, r = n AS is_last, CASE WHEN r = 1 THEN {_HEAD_SQL} ELSE '' END
+  || CASE WHEN r = n THEN chr(10) || 'Question: ' || text || chr(10) || {_sql(P.CODE_MARK)} WHEN r = 1 THEN text ELSE ' ' || text END AS prompt FROM e""",
     name="conversation_prompt",
 )
 def conversation_prompts(spark, sf_dir):
-    """PRM-5 over turns: each conversation's user turns as one prompt, the last question apart."""
+    """PRM-5 over turns: each conversation's user turns as pieces of one prompt, the last question apart."""
     turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     return turn_prompts(turns.select("conv_id", "turn", "text"))
 
@@ -139,7 +137,7 @@ def _mixture_rows(spark, sf_dir):
         F.element_at(names, (F.col("conv_id") % 4 + 1).cast("int")).alias("dataset"),
         F.col("role").alias("text"),
         text_of("turn | ", F.col("turn"), "\n").alias("table"),
-        F.get(lines, F.lit(0)).alias("question"),
+        F.col("text").alias("question"),
         lines.alias("questions"),
         F.array(text_of("units = 1\nunits = '", F.col("role"), "'\nans = ", F.col("turn"))).alias("generated"),
     )
@@ -150,8 +148,8 @@ def _mixture_rows(spark, sf_dir):
 WITH c AS (SELECT *, string_split(text, chr(10)) AS qs, 'turn | ' || turn AS tab FROM conversations)
 SELECT conv_id, turn, md5(CASE conv_id % 4
   WHEN 1 THEN {_sql(P.ANSWER_LAST + P.STORE_ANS)} || role || chr(10) || tab || chr(10) || 'Questions: ' || array_to_string(qs[1:len(qs) - 1], ' ') || chr(10) || 'Question: ' || qs[len(qs)] || chr(10) || {_sql(P.CODE_MARK)}
-  WHEN 2 THEN {_sql(P.ANSWER_ONE + P.STORE_SCALED + P.SCALES)} || role || chr(10) || tab || chr(10) || 'Question: ' || qs[1] || chr(10) || {_sql(P.CODE_MARK)}
-  ELSE {_sql(P.ANSWER_ONE + P.STORE_ANS)} || role || chr(10) || tab || chr(10) || 'Question: ' || qs[1] || chr(10) || {_sql(P.CODE_MARK)} END) AS prompt,
+  WHEN 2 THEN {_sql(P.ANSWER_ONE + P.STORE_SCALED + P.SCALES)} || role || chr(10) || tab || chr(10) || 'Question: ' || text || chr(10) || {_sql(P.CODE_MARK)}
+  ELSE {_sql(P.ANSWER_ONE + P.STORE_ANS)} || role || chr(10) || tab || chr(10) || 'Question: ' || text || chr(10) || {_sql(P.CODE_MARK)} END) AS prompt,
   'units = 1' || chr(10) || 'scale = ''' || role || '''' || chr(10) || 'ans = ' || turn AS target
 FROM c"""
 )
@@ -191,16 +189,16 @@ def label_mask(spark, sf_dir):
 @query(
     f"""
 WITH c AS (SELECT *, 'turn | ' || turn AS tab, CASE WHEN role = 'user' THEN 'finqa' ELSE 'other' END AS d FROM conversations),
-p AS (SELECT conv_id, turn, {_sql(P.ANSWER_ONE + P.STORE_ANS)} || role || chr(10) || tab || chr(10) || 'Question: ' || string_split(text, chr(10))[1] || chr(10) || {_sql(P.CODE_MARK)} AS prompt,
+p AS (SELECT conv_id, turn, {_sql(P.ANSWER_ONE + P.STORE_ANS)} || role || chr(10) || tab || chr(10) || 'Question: ' || text || chr(10) || {_sql(P.CODE_MARK)} AS prompt,
   'units = 1' || chr(10) || 'scale = ''' || role || '''' || chr(10) || 'ans = ' || turn AS target FROM c),
 i AS (SELECT *, list_transform(string_split(prompt || target, ' '), lambda w: length(w)::INTEGER)[1:3072] AS f,
   least(len(string_split(prompt, ' ')), 3072) AS n FROM p)
-SELECT conv_id * 1000 + turn AS row_id, len(f)::BIGINT + CASE WHEN f[-1] <> 7 AND len(f) < 3072 THEN 1 ELSE 0 END AS ids, (len(f) + CASE WHEN f[-1] <> 7 AND len(f) < 3072 THEN 1 ELSE 0 END - n)::BIGINT AS learned
+SELECT conv_id || '-' || turn AS row_id, len(f)::BIGINT + CASE WHEN f[-1] <> 7 AND len(f) < 3072 THEN 1 ELSE 0 END AS ids, (len(f) + CASE WHEN f[-1] <> 7 AND len(f) < 3072 THEN 1 ELSE 0 END - n)::BIGINT AS learned
 FROM i"""
 )
 def training_rows(spark, sf_dir):
     """PRM-11, SFT-1..3, SMP-2: the fine-tuning flow in one fixed style, shuffled."""
-    rows = _mixture_rows(spark, sf_dir).withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
+    rows = _mixture_rows(spark, sf_dir).withColumn("row_id", text_of(F.col("conv_id"), "-", F.col("turn")))
 
     def to_ids(text):
         return F.transform(F.split(text, " "), lambda w: F.length(w))

@@ -116,7 +116,7 @@ def tatqa_score(spark, sf_dir):
     sum(scale_em::INT)::BIGINT * 1000000 // count(*) AS scale_ppm, sum((pred_op = gold_op)::INT)::BIGINT * 1000000 // count(*) AS op_ppm, count(*) AS total FROM s"""
 )
 def tatqa_overall(spark, sf_dir):
-    """SCO-8, AGG-4: the overall figures, unanswered questions counted."""
+    """AGG-4: the overall figures, unanswered questions counted."""
     overall = overall_metrics(scored(spark, sf_dir))
     # a mean times its count is a whole number again
 

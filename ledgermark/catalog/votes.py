@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +19,24 @@ from ledgermark.functions.numbers import finqa_equal
 from ledgermark.operators.metrics import accuracy, running_accuracy, weighted_mean
 from ledgermark.operators.votes import majority_vote, rank_by_logprob, vote_pair
 
-# Line numbers repeat within an order, so the sample's place in its order is packed from every
-# column the votes read: rows that share a place are the same sample. The line number enters
-# modulo 8192, which keeps the packed value in range whatever it is.
-PLACE_SQL = """l_linenumber % 8192::BIGINT * 70368744177664 + l_partkey * 1024 + CAST(l_quantity AS BIGINT) * 8
-    + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END + CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END"""
+# Line numbers repeat within an order, so the sample's place in its order is made of every column
+# the votes read, in decimal digits: rows that share a place are the same sample.
+PLACE_SQL = """(l_linenumber::DECIMAL(38,0) * 10000000000000000 + l_partkey * 10000 + CAST(l_quantity AS BIGINT) * 10
+    + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END + CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END)"""
+
+
+def digits(*parts):
+    """Whole numbers side by side: ``(column, digits to its right)``, as a place."""
+    total = F.lit(0).cast("decimal(27,0)")
+    for column, right in parts:
+        total = (total + column.cast("decimal(12,0)") * F.lit(Decimal(10**right))).cast("decimal(27,0)")
+    return total
 
 
 def place():
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(4)
     status = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
-    return (
-        F.col("l_linenumber").cast("bigint") % 8192 * 70368744177664
-        + F.col("l_partkey") * 1024
-        + F.col("l_quantity").cast("bigint") * 8
-        + flag
-        + status
-    )
+    return digits((F.col("l_linenumber"), 16), (F.col("l_partkey"), 4), (F.col("l_quantity").cast("bigint"), 1), (flag + status, 0))
 
 
 def samples(spark, sf_dir) -> DataFrame:
@@ -61,7 +64,7 @@ SELECT o_orderkey, a::VARCHAR AS prediction, coalesce(n, 0) AS votes, coalesce(c
 FROM orders LEFT JOIN v ON o_orderkey = v.id"""
 )
 def vote_majority(spark, sf_dir):
-    """AGG-1, JON-2: the winning answer and program of every order."""
+    """AGG-1: the winning answer and program of every order."""
     voted = majority_vote(samples(spark, sf_dir))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     return orders.join(voted, "id", "left").select(
@@ -173,7 +176,7 @@ def running_accuracy_by_doc(spark, sf_dir):
 @query(
     """
 WITH d AS (SELECT l_returnflag, CAST(round(l_discount * 100) AS BIGINT) AS v, CAST(l_quantity AS BIGINT) AS w,
-                  l_orderkey * 1024 + l_linenumber * 128 + CAST(round(l_discount * 100) AS BIGINT) AS pos FROM lineitem)
+                  l_orderkey::DECIMAL(38,0) * 1000000000000 + l_linenumber * 100 + CAST(round(l_discount * 100) AS BIGINT) AS pos FROM lineitem)
 SELECT l_returnflag, sum(v * w)::BIGINT AS weighted, sum(w)::BIGINT AS weight,
        (sum(v * w)::BIGINT * 1000000 // sum(w)::BIGINT) AS mean_ppm, arg_max(v, pos) AS last FROM d GROUP BY l_returnflag""",
     name="weighted_mean",
@@ -184,7 +187,7 @@ def weighted_discount(spark, sf_dir):
         "l_returnflag",
         cents("l_discount").alias("v"),
         F.col("l_quantity").cast("bigint").alias("w"),
-        (F.col("l_orderkey") * 1024 + F.col("l_linenumber") * 128 + cents("l_discount")).alias("pos"),
+        digits((F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (cents("l_discount"), 0)).alias("pos"),
     )
     return weighted_mean(rows, "v", "w", "pos", ["l_returnflag"]).select(
         "l_returnflag",

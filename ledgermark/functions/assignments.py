@@ -14,11 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-# Bounds that stand in for a wall-clock limit; a program beyond them has no answer.
-MAX_SOURCE = 20_000
-MAX_BITS = 100_000
-MAX_ITEMS = 2_000
-MAX_PLACES = 400
+#: Work one program may take, in units of about a machine word handled; stands in for a limit of five seconds.
+BUDGET = 50_000_000
 
 _BINARY = {
     ast.Add: operator.add,
@@ -42,74 +39,105 @@ _CALLS = {"sum": sum, "len": len, "min": min, "max": max, "round": round, "abs":
 
 
 class Rejected(Exception):
-    """The program uses something outside the allowed arithmetic."""
-
-
-def _binary(op: type, left, right):
-    if isinstance(left, (int, float)) and isinstance(right, (int, float)):
-        if op is ast.Pow and isinstance(left, int) and isinstance(right, int):
-            if abs(right) * max(left.bit_length(), 1) > MAX_BITS:
-                raise Rejected("power too large")
-        value = _BINARY[op](left, right)
-        if isinstance(value, complex) or isinstance(value, int) and value.bit_length() > MAX_BITS:
-            raise Rejected("number out of range")
-        return value
-    if op is ast.Add and type(left) is type(right) and isinstance(left, (str, list)):
-        if len(left) + len(right) > MAX_ITEMS:
-            raise Rejected("value too long")
-        return left + right
-    raise Rejected("operands")
-
-
-def _value(node: ast.expr, names: dict):
-    match node:
-        case ast.Constant(value=v) if v is None or isinstance(v, (bool, int, float, str)):
-            return v
-        case ast.Name(id=name):
-            return names[name]
-        case ast.BinOp(left=left, op=op, right=right) if type(op) in _BINARY:
-            return _binary(type(op), _value(left, names), _value(right, names))
-        case ast.UnaryOp(op=op, operand=operand) if type(op) in _UNARY:
-            return _UNARY[type(op)](_value(operand, names))
-        case ast.Compare(left=left, ops=[op], comparators=[right]) if type(op) in _COMPARE:
-            return _COMPARE[type(op)](_value(left, names), _value(right, names))
-        case ast.List(elts=items) | ast.Tuple(elts=items):
-            values = [_value(item, names) for item in items]
-            if any(isinstance(v, list) for v in values):  # shared sublists can print without bound
-                raise Rejected("nested list")
-            return values
-        case ast.Subscript(value=items, slice=index):
-            return _value(items, names)[_value(index, names)]
-        case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _CALLS:
-            given = [_value(a, names) for a in args]
-            if name == "round" and len(given) > 1 and abs(given[1]) > MAX_PLACES:
-                raise Rejected("places")
-            return _CALLS[name](*given)
-    raise Rejected(type(node).__name__)
-
-
-def _run(source: str) -> dict | None:
-    """Names bound by a straight-line program, None if any part of it fails."""
-    try:
-        if len(source) > MAX_SOURCE:
-            return None
-        names: dict = {}
+    """The program uses something outside the allowed arithmetic, or too much of it."""
+
+
+def _size(value) -> int:
+    """Machine words a value takes."""
+    if isinstance(value, int):
+        return value.bit_length() // 64 + 1
+    if isinstance(value, (str, list)):
+        return len(value) + 1
+    return 1
+
+
+class _Program:
+    """Names bound by a program, and the work left to it."""
+
+    def __init__(self, budget: int):
+        self.names: dict = {}
+        self.left = budget
+
+    def spend(self, work: int) -> None:
+        self.left -= work
+        if self.left < 0:
+            raise Rejected("over budget")
+
+    def binary(self, op: type, left, right):
+        if isinstance(left, (int, float)) and isinstance(right, (int, float)):
+            whole = isinstance(left, int) and isinstance(right, int)
+            if whole and op is ast.Pow:
+                self.spend((abs(right) * left.bit_length() // 64 + 1) ** 2)
+            elif whole and op in (ast.Mult, ast.Div, ast.FloorDiv, ast.Mod):
+                self.spend(_size(left) * _size(right))
+            else:
+                self.spend(_size(left) + _size(right))
+            value = _BINARY[op](left, right)
+            if isinstance(value, complex):
+                raise Rejected("not a real number")
+            return value
+        if op is ast.Add and type(left) is type(right) and isinstance(left, (str, list)):
+            self.spend(len(left) + len(right))
+            return left + right
+        raise Rejected("operands")
+
+    def value(self, node: ast.expr):
+        self.spend(1)
+        match node:
+            case ast.Constant(value=v) if v is None or isinstance(v, (bool, int, float, str)):
+                return v
+            case ast.Name(id=name):
+                return self.names[name]
+            case ast.BinOp(left=left, op=op, right=right) if type(op) in _BINARY:
+                return self.binary(type(op), self.value(left), self.value(right))
+            case ast.UnaryOp(op=op, operand=operand) if type(op) in _UNARY:
+                return _UNARY[type(op)](self.value(operand))
+            case ast.Compare(left=left, ops=[op], comparators=[right]) if type(op) in _COMPARE:
+                return _COMPARE[type(op)](self.value(left), self.value(right))
+            case ast.List(elts=items) | ast.Tuple(elts=items):
+                values = [self.value(item) for item in items]
+                if any(isinstance(v, list) for v in values):  # shared sublists can print without bound
+                    raise Rejected("nested list")
+                return values
+            case ast.Subscript(value=items, slice=index):
+                return self.value(items)[self.value(index)]
+            case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _CALLS:
+                given = [self.value(a) for a in args]
+                self.spend(sum(map(_size, given)))
+                if name == "round" and len(given) > 1 and isinstance(given[1], int):
+                    self.spend((abs(given[1]) // 19 + 1) ** 2)
+                return _CALLS[name](*given)
+        raise Rejected(type(node).__name__)
+
+    def run(self, source: str) -> None:
         for line in ast.parse(source).body:
             match line:
                 case ast.Assign(targets=[ast.Name(id=name)], value=value):
-                    names[name] = _value(value, names)
+                    self.names[name] = self.value(value)
                 case ast.AugAssign(target=ast.Name(id=name), op=op, value=value) if type(op) in _BINARY:
-                    names[name] = _binary(type(op), names[name], _value(value, names))
+                    self.names[name] = self.binary(type(op), self.names[name], self.value(value))
                 case ast.Expr(value=ast.Call(func=ast.Name(id="print"), args=shown)):
                     for arg in shown:  # shown nowhere, but a fault in it is a fault
-                        _value(arg, names)
+                        self.value(arg)
                 case ast.Expr(value=value):
-                    _value(value, names)
+                    self.value(value)
                 case _:
-                    return None
-        return names
-    except (Rejected, ArithmeticError, LookupError, TypeError, ValueError, SyntaxError, RecursionError, MemoryError):
-        return None
+                    raise Rejected(type(line).__name__)
+
+
+_FAULTS = (ArithmeticError, LookupError, TypeError, ValueError, SyntaxError, RecursionError, MemoryError)
+
+
+def _run(source: str, budget: int) -> tuple[dict | None, str | None]:
+    """Names bound by a straight-line program; or None and why, if any part of it fails."""
+    program = _Program(budget)
+    try:
+        program.run(source)
+        return program.names, None
+    except Rejected as reason:
+        return None, f"refused: {reason}"
+    except _FAULTS as fault:
+        return None, f"failed: {type(fault).__name__}"
 
 
 def _float(value) -> float | None:
@@ -121,12 +149,9 @@ def _float(value) -> float | None:
 
 def _tagged(value) -> tuple:
     """Kind, number, text, flag and items of a value; all None for no answer."""
-    try:
-        text = str(value)
-    except ValueError:  # integer too long to print
-        value = None
     if value is None:
         return (None,) * 5
+    text = str(value)
     if isinstance(value, bool):
         return "bool", float(value), text, value, None
     if isinstance(value, (int, float)):
@@ -155,15 +180,21 @@ def _answers(values: list) -> pa.Array:
     return pa.StructArray.from_arrays(arrays, list(_FIELDS), mask=arrays[0].is_null())
 
 
-def evaluate_batch(codes: pa.Array, keys: tuple[str, ...]) -> pa.Array:
-    """Struct of ``ok`` and one tagged answer per key, for every program of a batch."""
-    coded = codes.dictionary_encode()
-    # one more result, of no program, for null code
-    results = [*map(_run, coded.dictionary.to_pylist()), None]
-    ok = pa.array([r is not None for r in results])
-    fields = [_answers([r.get(k) if r else None for r in results]) for k in keys]
+def evaluate_batch(codes: pa.Array, keys: tuple[str, ...], budget: int = BUDGET) -> pa.Array:
+    """Struct of ``ok``, ``reason`` and one tagged answer per key, for every program of a batch."""
+    printed = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)  # a long integer is an answer; the budget bounds it
+    try:
+        coded = codes.dictionary_encode()
+        # one more result, of no program, for null code
+        results = [*(_run(code, budget) for code in coded.dictionary.to_pylist()), (None, "no program")]
+        ok = pa.array([names is not None for names, _ in results])
+        reason = pa.array([reason for _, reason in results], pa.string())
+        fields = [_answers([names.get(k) if names else None for names, _ in results]) for k in keys]
+    finally:
+        sys.set_int_max_str_digits(printed)
     index = pc.fill_null(coded.indices, len(results) - 1)
-    return pa.StructArray.from_arrays([ok, *fields], ["ok", *keys]).take(index)
+    return pa.StructArray.from_arrays([ok, reason, *fields], ["ok", "reason", *keys]).take(index)
 
 
 # Tasks get these functions by value, so executors need no copy of this package.

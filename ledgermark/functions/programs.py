@@ -142,16 +142,19 @@ def evaluate_program(program: ColumnOrName, table: ColumnOrName | None = None) -
     return bind(program_steps(program), run)
 
 
-def run_assignments(code: ColumnOrName, keys: tuple[str, ...] = ("ans",)) -> Column:
-    """EXE-2: struct of ``ok`` and one tagged answer per key.
+def run_assignments(code: ColumnOrName, keys: tuple[str, ...] = ("ans",), budget: int = assignments.BUDGET) -> Column:
+    """EXE-2: struct of ``ok``, ``reason`` (why there is no result) and one tagged answer per key.
+
+    ``budget`` bounds the work of one program; one beyond it has no result and
+    says so in ``reason``.
 
     The one step that leaves the JVM: Arrow batches holding only the code
     column. Each distinct program of a batch is run once.
     """
-    ddl = "struct<ok:boolean," + ",".join(f"`{k}`:{ANSWER.simpleString()}" for k in keys) + ">"
+    ddl = "struct<ok:boolean,reason:string," + ",".join(f"`{k}`:{ANSWER.simpleString()}" for k in keys) + ">"
 
     @F.arrow_udf(ddl)
     def evaluate(codes: pa.Array) -> pa.Array:
-        return assignments.evaluate_batch(codes, keys)
+        return assignments.evaluate_batch(codes, keys, budget)
 
     return evaluate(as_col(code))

@@ -46,16 +46,9 @@ def bag_f1(pred: ColumnOrName, gold: ColumnOrName) -> Column:
     return bind(bag_overlap(p, g).cast("double"), combine)
 
 
-def aligned_f1(preds: ColumnOrName, golds: ColumnOrName) -> Column:
-    """SCO-3: F1 under the best one-to-one alignment, zero for what stays unmatched.
-
-    Exact where either list has at most one bag, which is every list the
-    scoring flow makes (STR-9 gives one string); null for two longer lists.
-    """
-    p, g = as_col(preds), as_col(golds)
-    longer = F.greatest(F.size(p), F.size(g))
-    best = F.array_max(F.flatten(F.transform(p, lambda a: F.transform(g, lambda b: bag_f1(a, b)))))
-    return F.when(F.least(F.size(p), F.size(g)) <= 1, F.try_divide(F.coalesce(best, F.lit(0.0)), longer.cast("double")))
+def aligned_f1(pred: ColumnOrName, gold: ColumnOrName) -> Column:
+    """SCO-3: F1 of one token bag against one, which is all the scoring flow aligns (STR-9 gives one string a side)."""
+    return bag_f1(pred, gold)
 
 
 def numbers_agree(gold: ColumnOrName, pred: ColumnOrName) -> Column:
@@ -71,12 +64,11 @@ def round2(f1: Column) -> Column:
 
 
 def em_f1(pred: ColumnOrName, gold: ColumnOrName) -> Column:
-    """SCO-5: struct of exact match and rounded F1 for two span lists."""
+    """SCO-5: struct of exact match and rounded F1 for one answer string against one."""
     return bind(
-        F.struct(answer_bags(pred).alias("p"), answer_bags(gold).alias("g")),
+        F.struct(normalise_answer(pred).alias("p"), normalise_answer(gold).alias("g")),
         lambda s: F.struct(
-            same_span_set(s["p"]["spans"], s["g"]["spans"]).cast("double").alias("em"),
-            round2(aligned_f1(s["p"]["bags"], s["g"]["bags"])).alias("f1"),
+            (s["p"] == s["g"]).cast("double").alias("em"), round2(aligned_f1(token_bag(s["p"]), token_bag(s["g"]))).alias("f1")
         ),
     )
 

@@ -12,15 +12,14 @@ from ledgermark.functions.numbers import canonical_number, is_number, scale_fact
 
 PUNCTUATION = string.punctuation
 
-# Marks beyond ASCII punctuation that token trimming removes.
-EXTRA_TRIMMED = "‘’´`_"
-
 # a word character as the article rule sees it: letters, digits, underscore
 _WORD = r"[\p{L}\p{N}_]"
 # the letter is tried before the look-behind, so most positions fail at once
 _ARTICLES = rf"a(?<!{_WORD}a)n?(?!{_WORD})|t(?<!{_WORD}t)he(?!{_WORD})"
-# a blank-delimited token that holds a digit; possessive, so linear in the text
-_DIGIT_TOKEN = r"(?<![^ ])[^ \d]*+\d[^ ]*+"
+# a blank-delimited token that holds a digit, or may begin with inf, marks left aside; possessive, so linear in the text
+_INF = r"i[^ a-z]*+n[^ a-z]*+f"
+_NUMBER_WORD = rf"(?<![^ ])[^ a-z]*+{_INF}[^ ]*+"
+_DIGIT_TOKEN = rf"(?<![^ ])[^ \d]*+\d[^ ]*+|{_NUMBER_WORD}"
 _TRIMMED = "[" + "".join("\\" + ch for ch in PUNCTUATION) + "‘’´" + "]"
 
 
@@ -58,7 +57,7 @@ def normalise_number(text: ColumnOrName) -> Column:
 def normalise_answer(text: ColumnOrName) -> Column:
     """STR-7: lower case, no punctuation, canonical numbers, no articles, single blanks.
 
-    Only a token with a digit can be a number, so the text is cut at those
+    Only a token with a digit, or ``inf``, can be a number, so the text is cut at those
     tokens and the stretches between them are cleaned whole; text without a
     digit is one stretch. The articles and blanks are then handled in one pass
     over the rejoined text. Equal to working token by token, at a cost that
@@ -75,7 +74,7 @@ def normalise_answer(text: ColumnOrName) -> Column:
         pieces = F.split(low, _DIGIT_TOKEN)
         tokens = F.regexp_extract_all(low, F.lit(f"({_DIGIT_TOKEN})"), F.lit(0))
         joined = F.zip_with(pieces, tokens, lambda piece, token: F.concat_ws(" ", bare(piece), number_or_text(token)))
-        return F.when(low.rlike(r"\d"), F.array_join(joined, " ")).otherwise(bare(low))
+        return F.when(low.rlike(rf"\d|{_INF}"), F.array_join(joined, " ")).otherwise(bare(low))
 
     return squeeze(remove_articles(bind(F.lower(as_col(text)), cut)))
 

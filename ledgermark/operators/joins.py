@@ -1,4 +1,4 @@
-"""Keyed matches (JON-1..3) and the skew-proof variants they use."""
+"""Keyed matches (JON-1..3)."""
 
 from __future__ import annotations
 
@@ -31,33 +31,6 @@ def without_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys), keys, "left_anti")
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the optimiser's size for ``df`` is within the session's broadcast limit."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
-
-def salted_join(
-    many: DataFrame, few: DataFrame, key: str, spread_by: ColumnOrName, salts: int | None = None, how: str = "inner"
-) -> DataFrame:
-    """Equi-join for few distinct, heavily repeated keys on the ``many`` side.
-
-    A ``few`` side within the broadcast limit needs no shuffle at all. Beyond
-    it each key's rows are spread over ``salts`` tasks by a hash of
-    ``spread_by`` and the ``few`` side is repeated once per salt, so a key with
-    a third of all rows is still shared out. Exact either way. The default is
-    the session's shuffle partitions, 512 at most.
-    """
-    if fits_broadcast(few):
-        return many.join(few, key, how)
-    if salts is None:
-        salts = min(int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512)
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(as_col(spread_by)), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
 def replicate_formulas(formulas: DataFrame, n: int = 5) -> DataFrame:
     """JON-3: ``n`` numbered attempts per formula; no join."""
     return formulas.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

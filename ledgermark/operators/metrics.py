@@ -13,7 +13,6 @@ OPERATORS = (
 )
 
 # Answer types and where an answer comes from.
-ANSWER_TYPES = ("span", "multi-span", "arithmetic", "count")
 ANSWER_SOURCES = ("table", "text", "table-text")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgermark.functions.common import ColumnOrName, as_col, bind
 from ledgermark.functions.numbers import strip_digit_commas
 from ledgermark.functions.tables import table_line
+from ledgermark.operators.conversations import gathered
 
 
 def _cells(line: Column) -> Column:
@@ -20,32 +21,43 @@ def parse_markdown_table(df: DataFrame, table_id: str = "table_id", text: str =
 
     Blanks in headers become underscores, the second line is skipped, the first
     cell names the row and short rows are cut. A name used twice keeps its last
-    cell unless ``keep_last`` is off.
+    cell unless ``keep_last`` is off. The text is split once into header and
+    lines, and only lines are exploded. Names repeated in the header are settled
+    there; then a row named twice is the only repeat left, told by position.
     """
     lines = F.split(F.regexp_replace(F.col(text), r"^\s+|(?<!\s)\s++$", ""), "\n")
-    parts = df.select(
-        table_id,
-        F.transform(_cells(F.get(lines, F.lit(0))), lambda h: F.replace(h, F.lit(" "), F.lit("_"))).alias("_h"),
-        F.posexplode(F.slice(lines, F.lit(3), F.size(lines))).alias("row_pos", "_line"),
-    ).filter(F.col("_line") != "")
-    rows = parts.select(table_id, "_h", "row_pos", _cells(F.col("_line")).alias("_c"))
-    width = F.least(F.size("_h"), F.size("_c"))
-    long = rows.select(
-        table_id,
-        F.get("_c", F.lit(0)).alias("row_key"),
-        "row_pos",
-        F.posexplode(F.arrays_zip(F.slice("_h", F.lit(1), width).alias("h"), F.slice("_c", F.lit(1), width).alias("c"))).alias("col_pos", "_p"),
-    ).select(table_id, "row_key", F.col("_p.h").alias("column"), F.col("_p.c").alias("value"), "row_pos", "col_pos")
+    split = df.select(table_id, lines.alias("_lines"))
+    names = F.transform(_cells(F.get("_lines", F.lit(0))), lambda h: F.replace(h, F.lit(" "), F.lit("_")))
+    body = F.transform(F.slice("_lines", F.lit(3), F.size("_lines")), lambda line, i: F.struct(i.alias("at"), line.alias("line")))
+    parts = split.select(table_id, names.alias("_h"), F.filter(body, lambda x: x["line"] != "").alias("_body"))
+    rows = parts.select(table_id, "_h", F.explode("_body").alias("_b")).select(
+        table_id, "_h", F.col("_b.at").alias("row_pos"), _cells(F.col("_b.line")).alias("_c")
+    )
+    cells = F.transform(
+        F.slice("_c", F.lit(1), F.least(F.size("_h"), F.size("_c"))),
+        lambda c, i: F.struct(i.alias("at"), F.get(F.col("_h"), i).alias("name"), c.alias("value")),
+    )
+    rows = rows.select(table_id, F.get("_c", F.lit(0)).alias("row_key"), "row_pos", cells.alias("_p"))
+    if keep_last:
+        # within a row the last cell of a name stands
+        later = F.filter("_p", lambda p: ~F.exists(F.col("_p"), lambda q: (q["name"] == p["name"]) & (q["at"] > p["at"])))
+        repeated = F.size(F.array_distinct(F.transform("_p", lambda p: p["name"]))) < F.size("_p")
+        rows = rows.withColumn("_p", F.when(repeated, later).otherwise(F.col("_p")))
+    long = rows.select(table_id, "row_key", "row_pos", F.explode("_p").alias("_p")).select(
+        table_id, "row_key", F.col("_p.name").alias("column"), F.col("_p.value").alias("value"), "row_pos", F.col("_p.at").alias("col_pos")
+    )
     if not keep_last:
         return long
-    last = F.max_by(F.struct("value", "row_pos", "col_pos"), F.struct("row_pos", "col_pos"))
-    return long.groupBy(table_id, "row_key", "column").agg(last.alias("_l")).select(table_id, "row_key", "column", "_l.*")
+    # one place a name is left with, so the last row of a key is found by numbers alone
+    last = long.groupBy(table_id, "row_key", "column").agg(F.max("row_pos").alias("row_pos"))
+    return long.join(last, [table_id, "row_key", "column", "row_pos"], "left_semi")
 
 
 def year_cells(long: DataFrame, table_id: str = "table_id") -> DataFrame:
-    """Integer cells of year rows: lower-cased columns, digit commas removed, null where not an integer."""
+    """Integer cells of year rows: lower-cased columns, digit commas removed, null where not an integer; ``pos`` is the cell's place."""
     return long.select(
         table_id,
+        (F.col("row_pos").cast("bigint") * F.lit(1 << 31) + F.col("col_pos")).alias("pos"),
         F.lower("row_key").try_cast("bigint").alias("year"),
         F.lower("column").alias("column"),
         strip_digit_commas(F.lower("value")).try_cast("bigint").alias("value"),
@@ -53,8 +65,14 @@ def year_cells(long: DataFrame, table_id: str = "table_id") -> DataFrame:
 
 
 def to_year_rows(long: DataFrame, columns: list[str], table_id: str = "table_id") -> DataFrame:
-    """TAB-3: one row per table and year, one whole-number column per name in ``columns``."""
-    return year_cells(long, table_id).groupBy(table_id, "year").pivot("column", columns).agg(F.first("value", ignorenulls=True))
+    """TAB-3: one row per table and year, one whole-number column per name in ``columns``.
+
+    Of columns that differ in case only, and of years written in two ways, the
+    later integer stands, whatever the layout of the rows.
+    """
+    cells = year_cells(long, table_id)
+    named = [F.max_by("value", F.when((F.col("column") == c) & F.col("value").isNotNull(), F.col("pos"))).alias(c) for c in columns]
+    return cells.groupBy(table_id, "year").agg(*named)
 
 
 def complete_tables(long: DataFrame, variables: list[str], years: Column, table_id: str = "table_id") -> DataFrame:
@@ -96,20 +114,11 @@ def pair_table_text(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id", F.explode(pair).alias("_p")).select("sample_id", "_p.*")
 
 
-def table_pages(rows: DataFrame, keys: list[str], pos: str, cells: ColumnOrName, page_rows: int = 64) -> DataFrame:
-    """PRJ-3 for tables held as rows: ``keys, page, table`` with at most ``page_rows`` lines each.
+def table_lines(rows: DataFrame, keys: list[str], pos: str, cells: ColumnOrName) -> DataFrame:
+    """PRJ-3 for tables held as rows: ``keys, pos, line``; the lines in order of ``pos`` are the table."""
+    return rows.select(*keys, pos, F.concat(table_line(cells), F.lit("\n")).alias("line"))
 
-    ``pos`` is the line's position, unique within ``keys``. A page is a range of
-    positions, so a table with very many lines is spread over tasks and no task
-    gathers it whole; its pages in order are the table.
-    """
-    lined = rows.select(
-        *keys,
-        F.floor(F.col(pos) / page_rows).cast("bigint").alias("page"),
-        F.col(pos).alias("_at"),
-        F.concat(table_line(cells), F.lit("\n")).alias("_line"),
-    )
-    page = F.array_sort(F.collect_list(F.struct("_at", "_line")))
-    return lined.groupBy(*keys, "page").agg(page.alias("_ls")).select(
-        *keys, "page", F.array_join(F.transform("_ls", lambda s: s["_line"]), "").alias("table")
-    )
+
+def whole_tables(lines: DataFrame, keys: list[str], pos: str, most: int) -> DataFrame:
+    """``keys, line``: whole tables of up to ``most`` lines; a longer one is an error."""
+    return gathered(lines, keys, [pos], "line", most)

@@ -5,19 +5,11 @@ RAW_RECORD = f"id string, table array<array<string>>, qa {QA}, qa_0 {QA}, qa_1 {
 EXAMPLE = (
     "question string, text string, table string, answer variant, program string, id string, gold map<string,string>"
 )
-ANNOTATED = EXAMPLE + ", generated array<string>, executed variant"
 COMPLETION_CHOICES = (
     "id string, choices array<struct<text:string,message:struct<role:string,content:string>,"
     "logprobs:struct<token_logprobs:array<double>>>>"
 )
 COMPLETION = "id string, sample_idx int, text string, token_logprobs array<double>"
-CONVERSATION = "id string, text string, table string, questions array<string>, answer variant"
-MATH = "question string, tables array<string>, ground_truth double"
-TRAINING_ROW = (
-    "dataset string, text string, table string, question string, questions array<string>, generated array<string>"
-)
 GOLD_DOCUMENT = (
     "questions array<struct<uid:string,answer_type:string,answer_from:string,scale:string,answer:variant>>"
 )
-PREDICTION = "uid string, pred array<string>, pred_scale string"
-FORMULA = "variables array<string>"

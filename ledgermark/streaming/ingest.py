@@ -10,16 +10,22 @@ from ledgermark.operators.joins import without_done
 from ledgermark.operators.shards import dedup_keep_first
 
 BATCH = "batch_id"
+BUCKET = "key_bucket"
+BUCKETS = 256
 
 
 def read_ingested(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
-    """What has been ingested so far."""
+    """What has been ingested so far, with the number of its batch."""
+    return _stored(spark, out_dir, schema).drop(BUCKET)
+
+
+def _stored(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(f"{schema}, {BATCH} bigint").parquet(out_dir)
+        return spark.read.schema(f"{schema}, {BATCH} bigint, {BUCKET} int").parquet(out_dir)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], f"{schema}, {BATCH} bigint")
+        return spark.createDataFrame([], f"{schema}, {BATCH} bigint, {BUCKET} int")
 
 
 def ingest_completions_stream(
@@ -30,12 +36,14 @@ def ingest_completions_stream(
     schema: str,
     keys: tuple[str, ...] = ("id", "sample_idx"),
     max_files: int = 1000,
+    buckets: int = BUCKETS,
 ) -> None:
     """STM-1: take in the JSON line files that arrived since the last run, first row per key.
 
     Each micro-batch owns the folder of its batch number and overwrites it, so
-    a replayed batch leaves one copy; rows whose key an earlier batch holds are
-    dropped by an anti join that reads the key columns only.
+    a replayed batch leaves one copy. Rows are stored by hash bucket of their
+    key, and those whose key an earlier batch holds are dropped by an anti join
+    that reads the key columns of the buckets the batch touches, and no others.
     """
     stream = (
         spark.readStream.schema(schema)
@@ -55,9 +63,12 @@ def ingest_completions_stream(
         ordered = batch.withColumn("_line", F.monotonically_increasing_id())
         first = dedup_keep_first(ordered, list(keys), ["_mtime", "_file", "_block", "_line"])
         first = first.drop("_mtime", "_file", "_block", "_line")
-        earlier = read_ingested(session, out_dir, schema).filter(F.col(BATCH) < batch_id)
+        first = first.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [row[0] for row in first.select(BUCKET).distinct().collect()]  # at most one a bucket
+        earlier = _stored(session, out_dir, schema).filter((F.col(BATCH) < batch_id) & F.col(BUCKET).isin(touched))
         fresh = without_done(first, earlier, list(keys))
-        fresh.write.mode("overwrite").parquet(f"{out_dir}/{BATCH}={batch_id}")
+        fresh.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{out_dir}/{BATCH}={batch_id}")
+        first.unpersist()
 
     (
         stream.writeStream.foreachBatch(store)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ledgermark.functions.answers import ANSWER, flag_answer, number_answer, text_answer
 from ledgermark.functions.draws import STATEMENT_ITEMS, draw_key, sample_distractors, sample_years
 from ledgermark.functions.prompts import conversation_prompt
-from ledgermark.operators.conversations import turn_prompts
+from ledgermark.operators.conversations import turn_prompts, whole_prompts
 from ledgermark.operators.examples import normalise_examples, split_rejects, unpivot_qa
-from ledgermark.operators.joins import distinct_variables, join_completions, replicate_formulas, salted_join, without_done
+from ledgermark.operators.joins import distinct_variables, join_completions, replicate_formulas, without_done
 from ledgermark.operators.metrics import accuracy, running_accuracy, weighted_mean
 from ledgermark.operators.shards import dedup_keep_first, sample_n, shuffle_rows, union_shards
-from ledgermark.operators.tables import complete_tables, has_complete_series, pair_table_text, parse_markdown_table, table_pages, to_year_rows
+from ledgermark.operators.tables import complete_tables, has_complete_series, pair_table_text, parse_markdown_table, table_lines, to_year_rows, whole_tables
 from ledgermark.operators.votes import majority_vote, rank_by_logprob, sort_by_logprob, vote_pair
 from ledgermark.schemas import RAW_RECORD
 
@@ -153,17 +153,6 @@ def test_draws(spark):
 def test_joins(spark):
     many = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("row"))
     few = spark.sql("SELECT * FROM VALUES (0L, 'a'), (1L, 'b'), (5L, 'c') AS t(k, v)")
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    for how in ("inner", "left"):
-        plain = sorted(many.join(few, "k", how).select("k", "row", "v").collect(), key=str)
-        try:
-            for bytes_ in (limit, "-1"):  # broadcast, then salted
-                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bytes_)
-                joined = salted_join(many, few, "k", "row", 4, how).select("k", "row", "v")
-                assert ("_salt" in joined._jdf.queryExecution().analyzed().toString()) == (bytes_ == "-1")
-                assert sorted(joined.collect(), key=str) == plain
-        finally:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert without_done(many, few, ["k"]).count() == 333
     assert join_completions(few.withColumnRenamed("k", "id"), many.withColumnRenamed("k", "id")).count() == 334 + 333 + 1
     grid = replicate_formulas(few.select("k"), 5)
@@ -220,22 +209,61 @@ def test_pairs(spark):
     assert sorted(map(tuple, pair_table_text(df).collect())) == [(1, "table", "T", "tt", "tv"), (1, "text", "ot", "x", "xv")]
 
 
-def test_pages_spread_a_long_table(spark):
+def test_lines_of_a_long_table(spark):
     rows = spark.range(1000).select(F.lit("big").alias("k"), F.col("id").alias("pos")).unionAll(spark.range(3).select(F.lit("small"), F.col("id")))
-    pages = table_pages(rows.repartition(4), ["k"], "pos", F.array(F.col("pos").cast("string"), F.lit("")), 64)
-    got = pages.orderBy("k", "page").collect()
-    assert max(r["table"].count("\n") for r in got) == 64
-    assert "".join(r["table"] for r in got if r["k"] == "big") == "".join(f"{i} | -\n" for i in range(1000))
+    lines = table_lines(rows.repartition(4), ["k"], "pos", F.array(F.col("pos").cast("string"), F.lit("")))
+    assert "Exchange hashpartitioning" not in plan_of(lines) and lines.count() == 1003
+    whole = {r["k"]: r["line"] for r in whole_tables(lines, ["k"], "pos", 1000).collect()}
+    assert whole == {"big": "".join(f"{i} | -\n" for i in range(1000)), "small": "0 | -\n1 | -\n2 | -\n"}
+    with pytest.raises(Exception, match="more than 999 rows"):
+        whole_tables(lines, ["k"], "pos", 999).collect()
 
 
 def test_turn_prompts_equal_the_whole_prompt(spark):
-    turns = [(0, t) for t in range(130)] + [(1, 5)] + [(2, t) for t in range(65)] + [(3, 10), (3, 70), (3, 200)]
+    turns = [(0, t) for t in range(130)] + [(1, 5)] + [(2, t) for t in range(65)] + [(3, 10), (3, 70), (3, 200), (3, 70)]
     df = spark.createDataFrame([(c, t, f"q{t}") for c, t in turns], "conv_id int, turn int, text string")
-    whole = df.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t")).select(
+    whole = df.distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t")).select(
         "conv_id", conversation_prompt(F.lit(""), F.lit(""), F.transform("t", lambda t: F.concat(F.lit("q"), t.cast("string")))).alias("p")
     )
     want = {r["conv_id"]: r["p"] for r in whole.collect()}
-    parts = turn_prompts(df.repartition(4)).orderBy("conv_id", "part").collect()
-    got = {c: "".join(r["prompt"] for r in parts if r["conv_id"] == c) for c in want}
-    assert got == want
-    assert sum(r["is_last"] for r in parts) == 4
+    pieces = turn_prompts(df.repartition(4))
+    assert {r["conv_id"]: r["prompt"] for r in whole_prompts(pieces, 130).collect()} == want
+    assert pieces.filter("is_first").count() == pieces.filter("is_last").count() == 4
+
+
+def test_two_texts_under_one_turn_both_stay(spark):
+    df = spark.createDataFrame([(1, 0, "first"), (1, 1, "b"), (1, 1, "a"), (1, 1, "a"), (2, 3, "y"), (2, 3, "x")], "conv_id int, turn int, text string")
+    got = {r["conv_id"]: r["prompt"] for r in whole_prompts(turn_prompts(df), 10).collect()}
+    prompt = lambda *q: spark.range(1).select(conversation_prompt(F.lit(""), F.lit(""), F.array(*map(F.lit, q)))).first()[0]
+    assert got == {1: prompt("first", "a", "b"), 2: prompt("x", "y")}
+
+
+def test_year_rows_do_not_depend_on_the_layout(spark):
+    text = "| Year | Tax | tax |\n|---|---|---|\n| 2010 | 1 | 2 |\n| 2011 | 3 | x |\n| 02010 | 7 |\n"
+    df = spark.createDataFrame([(1, text)], "table_id int, text string")
+    for n in range(1, 9):
+        got = to_year_rows(parse_markdown_table(df).repartition(n), ["tax"]).collect()
+        assert sorted(map(tuple, got)) == [(1, 2010, 7), (1, 2011, 3)]
+    plan = parse_markdown_table(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Generate" in line and "text#" in line]
+
+
+def test_votes_beyond_thirteen_bits_of_place(spark):
+    rows = spark.range(20_000).select(F.lit("x").alias("id"), F.col("id").alias("sample_idx"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(7.0).alias("answer"), F.col("id").cast("string").alias("code"))
+    row = majority_vote(rows.repartition(5)).first()
+    assert (row["prediction"]["num"], row["votes"], row["code"]) == (4.0, 10_000, "19998")
+    far = rows.withColumn("sample_idx", F.lit(str(10**26)).cast("decimal(27,0)") + F.col("sample_idx"))
+    assert majority_vote(far).first()["code"] == "19998"
+    bare = majority_vote(rows, code_col=None)
+    assert "SortAggregate" not in plan_of(bare) and bare.first()["prediction"]["num"] == 4.0
+    with pytest.raises(Exception, match="out of range"):
+        majority_vote(rows.withColumn("sample_idx", -F.col("sample_idx") - 1)).collect()
+
+
+def test_sample_sizes_and_repeated_keys(spark):
+    df = spark.range(3000).select((F.col("id") % 1500).alias("id"), F.col("id").alias("row"))
+    order = [r["id"] for r in df.select("id", draw_key("id", "sample").alias("d")).orderBy("d").collect()]
+    for n in (0, 1, 2, 999, 1000, 1001, 1500, 2999, 3000, 4000):
+        got = sample_n(df.repartition(6), n, "id")
+        assert Counter(r["id"] for r in got.collect()) == Counter(order[:n])
+        assert "Window" not in plan_of(got)

@@ -59,6 +59,16 @@ def test_run_assignments(spark):
     assert got[-1]["ok"] and got[-1]["ans"] is None
 
 
+def test_budget_and_reasons(spark):
+    codes = ["ans = 1 # " + "x" * 60_000, "ans = 10 ** 5000", "import os", "ans = 9 ** 9 ** 9", "ans = 1 / 0", None]
+    got = [r[0] for r in texts(spark, codes).orderBy("i").select(P.run_assignments("t")).collect()]
+    assert [r["ok"] for r in got] == [True, True, False, False, False, False]
+    assert got[0]["ans"]["num"] == 1 and got[1]["ans"]["text"] == "1" + "0" * 5000
+    assert [r["reason"] for r in got] == [None, None, "refused: Import", "refused: over budget", "failed: ZeroDivisionError", "no program"]
+    small = texts(spark, ["ans = 2 + 3 * 4", "ans = 2"]).orderBy("i").select(P.run_assignments("t", budget=2)).collect()
+    assert [r[0]["ok"] for r in small] == [False, True]
+
+
 def test_only_the_code_column_reaches_python(spark):
     plan = texts(spark, ["ans = 1"]).withColumn("other", F.lit("x")).select("i", "other", P.run_assignments("t"))
     text = plan._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as contract
+from ledgermark import catalog
 from tests.oracle import TABLES, compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -30,8 +30,8 @@ def skewed(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_against_sql(spark, skewed, name):
-    problems, rows = compare(spark, connect(skewed), contract.queries()[name], contract.oracle_sql()[name], skewed)
+    problems, rows = compare(spark, connect(skewed), catalog.queries()[name], catalog.oracle_sql()[name], skewed)
     assert not problems
     assert rows > 0

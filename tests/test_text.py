@@ -21,7 +21,7 @@ def test_ws_tokens(spark):
     assert column(texts(spark, given_texts), X.ws_tokens("t")) == want
 
 
-FLOAT = re.compile(r"[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?)$", re.A)
+FLOAT = re.compile(r"[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?|inf(?:inity)?)$", re.A)
 NOISE = "'\"\\$€£¥%(),[]"
 
 
@@ -35,7 +35,7 @@ def expected(text):
         named = [f for w, f in scales.items() if len(words) > 1 and w in words[1]]
         numeric = bool(words) and FLOAT.match(words[0]) and (len(words) == 1 or named)
         found = re.findall(r"[+-]?\d+(?:\.\d+)?|[+-]?\.\d+", cleaned, re.A)
-        if numeric and not re.match(r"[+-]?\.", found[-1]):
+        if numeric and found and not re.match(r"[+-]?\.", found[-1]):
             value = float(found[-1]) if "." in found[-1] else int(found[-1])
             word = re.search(r"[\d.]+\s?([a-zA-Z]+)", token)
             for name, factor in scales.items():
@@ -51,7 +51,7 @@ def expected(text):
     return " ".join(p for p in parts if p.strip())
 
 
-ALPHABET = st.sampled_from(list("aantheTHE  \n\t.,-+%()$19e5_é’x;") + [" the ", " (1.5) ", "million", "12,000"])
+ALPHABET = st.sampled_from(list("aantheTHE  \n\t.,-+%()$19e5_é’x;") + ["inf", "-inf", "$inf", "infinity", " +Infinity ", " the ", " (1.5) ", "million", "12,000"])
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))

@@ -142,16 +142,16 @@ def thresholds(counted: DataFrame) -> DataFrame:
     """``lang, source, fence`` for each group: its own, its language's or all texts'."""
     sketch = saved(sketches(counted), "quality-sketches")
     own, language = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"])
-    whole = fences(sketch.withColumn("all", F.lit(0)), ["all"])
-    groups = counted.select(_name("lang").alias("lang"), _name("source").alias("source")).distinct().withColumn("all", F.lit(0))
+    whole = fences(sketch.withColumn("all", F.lit(0)), ["all"]).select("fence").first()  # one row of eight numbers
+    groups = counted.select(_name("lang").alias("lang"), _name("source").alias("source")).distinct()
     level = lambda df, name, keys: df.select(*keys, F.struct("docs", "fence").alias(name))
-    found = (
-        groups.join(level(own, "_own", ["lang", "source"]), ["lang", "source"], "left")
-        .join(level(language, "_lang", ["lang"]), "lang", "left")
-        .join(level(whole, "_all", ["all"]), "all", "left")
-    )
+    found = groups.join(level(own, "_own", ["lang", "source"]), ["lang", "source"], "left").join(level(language, "_lang", ["lang"]), "lang", "left")
     enough = lambda name: F.when(F.col(f"{name}.docs") >= MIN_DOCS, F.col(f"{name}.fence"))
-    return found.select("lang", "source", F.coalesce(enough("_own"), enough("_lang"), F.col("_all.fence")).alias("fence"))
+    limits = [enough("_own"), enough("_lang")]
+    if whole:
+        ends = {n: F.struct(F.lit(whole["fence"][n]["low"]).alias("low"), F.lit(whole["fence"][n]["high"]).alias("high")) for n in LEAST}
+        limits.append(F.struct(*[end.alias(n) for n, end in ends.items()]))
+    return found.select("lang", "source", F.coalesce(*limits).alias("fence"))
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:

@@ -133,16 +133,21 @@ def test_held_out_accuracy_of_texts_alone(spark, docs):
 
 
 def test_evidence_settles_what_texts_leave_open(spark, docs):
-    rows = [(i, t, "fr-FR" if i % 2 else None, f"https://www.h{i % 3}.example.fr/p", f"h{i % 3}.example.fr") for i, t in enumerate([None, "", "123 456", "ou", "la que"] * 4)]
-    french = docs.filter("lang = 'fr'").limit(100).select("doc_id", "text", F.lit("fr").alias("d"), F.lit("http://x.example.fr/1").alias("a"), F.concat(F.lit("h"), (F.col("doc_id") % 3).cast("string"), F.lit(".example.fr")).alias("h"))
+    texts = [None, "", "123 456", "ou", "la que"] * 4
+    rows = [(1000 + i, t, "fr-FR" if i % 2 else None, f"https://www.h{i % 3}.example.fr/p", f"h{i % 3}.example.fr") for i, t in enumerate(texts)]
+    french = docs.filter("lang = 'fr'").limit(100).select(
+        "doc_id", "text", F.lit("fr").alias("d"), F.lit("http://x.example.fr/1").alias("a"), F.concat(F.lit("h"), (F.col("doc_id") % 3).cast("string"), F.lit(".example.fr")).alias("h")
+    )
     table = spark.createDataFrame(rows, "id bigint, text string, declared string, address string, host string").unionByName(french.toDF("id", "text", "declared", "address", "host"))
-    got = language.identified(table, docs).filter("id < 20 and host is not null").collect()
-    short = [r for r in got if r["id"] < 20 and r["row"] is not None]
-    by = {}
-    for r in short:
-        by.setdefault(r["id"] % 5, []).append(r)
-    assert all(not r["kept"] and r["language"] is None for k in (0, 1, 2) for r in by[k] if r["declared"] in ("", "fr") and r["text_language"] is None)
-    assert all(r["language"] == "fr" and r["suffix"] == "fr" for r in by[4])
+    got = {r["id"]: r for r in language.identified(table, docs).filter("id >= 1000").collect()}
+    assert len(got) == 20
+    for i, text in enumerate(texts):
+        r = got[1000 + i]
+        assert (r["declared"], r["suffix"]) == ("fr" if i % 2 else "", "fr")
+        if text != "la que":
+            assert r["language"] is None and not r["kept"] and r["posterior"] == 0
+        elif i % 2:  # the text alone would be Spanish
+            assert r["text_language"] == "es" and r["language"] == "fr" and r["kept"]
 
 
 def test_query_has_a_row_for_every_document(spark):

@@ -31,7 +31,7 @@ REACH = 3.0
 MIN_DOCS = 50
 
 #: Rate: the least interquartile range used.
-LEAST = {"symbols": 5.0, "word_length": 0.4, "dup_lines": 10.0, "repeats": 12.0}
+LEAST = {"symbols": 5.0, "word_length": 0.4, "dup_lines": 15.0, "repeats": 12.0}
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ def write_json(df: DataFrame, path: str) -> bool:
         df.write.mode("overwrite").json(path)
         return True
     except PySparkException as error:
-        print(f"could not write {path}: {error}")
+        logging.getLogger(__name__).error("could not write %s: %s", path, error)
         return False
 
 

@@ -9,6 +9,7 @@ from ledgermark.functions import text as X
 from tests.test_numbers import column, texts
 
 
+# The first four texts and their results here, and the first three in the next test, are published vectors.
 def test_golden(spark):
     given_texts = ["-134.12", "134.12", "(134.12)", "18.3%", "The Cash, a  Flow", "$1.0", "007", "1e5", "12 a-b", ".5", "+3", "5\nmillion", "a\nthe"]
     want = ["-134.12", "134.12", "-134.12", "0.183", "cash flow", "1.0", "7", "5", "12 ab", ".5", "3", "5000000", ""]
@@ -22,6 +23,7 @@ def test_ws_tokens(spark):
 
 
 FLOAT = re.compile(r"[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?|inf(?:inity)?)$", re.A)
+# Characters that the number rules leave aside.
 NOISE = "'\"\\$€£¥%(),[]"
 
 

@@ -8,6 +8,15 @@ its sources' and nothing has to be sorted or gathered. A group's fences stand
 ``REACH`` interquartile ranges (``LEAST`` wide at least) beyond its quartiles,
 learned from the texts that pass the base rules. A group with fewer than
 ``MIN_DOCS`` such texts uses its language's fences, and that one all texts'.
+
+Most texts repeat no line or word, so the range of these rates is 0 and the
+tail sets their fence: the highest hundredth begins at q99, and the fence
+stands as far beyond q99 as that is from the upper quartile. Three ranges of
+``WIDEST`` are the limit, as junk in the tail would move it. A group with fewer than
+``TAIL_DOCS`` texts takes the tail's length from its language, or all texts.
+Symbols have no such tail: up to a tenth of a group may be junk by them, q99
+included, and the quartiles are not moved by that.
+
 The fences are joined back and the rates held against them.
 
 Null and wordless texts fail the base rules. Null languages and sources are
@@ -30,8 +39,14 @@ SMALLEST = 0.01
 REACH = 3.0
 MIN_DOCS = 50
 
-#: Rate: the least interquartile range used.
-LEAST = {"symbols": 5.0, "word_length": 0.4, "dup_lines": 15.0, "repeats": 12.0}
+#: Rate: the least range used, of rounding size: one symbol, repeated word or line of fifty, five characters in fifty words.
+LEAST = {"symbols": 2.0, "word_length": 0.1, "dup_lines": 2.0, "repeats": 2.0}
+
+#: Rates held against their tail, and the interquartile range that bounds it.
+WIDEST = {"dup_lines": 15.0, "repeats": 12.0}
+TAIL = 0.99
+#: As many texts lie beyond the tail's quantile as beyond the quartile of ``MIN_DOCS``.
+TAIL_DOCS = 1_250
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -120,38 +135,58 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """``by, docs, fence`` (a map of rate to low and high): sketches merged by ``by``.
+    """``by, docs, fence`` (a map of rate to its ``LIMITS``): sketches merged by ``by``.
 
     A group and rate has no more buckets than the range of doubles gives (2,000).
     """
     merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rate")
     merged = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    quartile = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), F.col("bucket")))
+    quantile = lambda q: value_of(F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), F.col("bucket"))))
     each = merged.groupBy(*by, "rate").agg(
-        F.max("docs").alias("docs"), value_of(quartile(0.25)).alias("q1"), value_of(quartile(0.75)).alias("q3")
+        F.max("docs").alias("docs"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), quantile(TAIL).alias("end")
     )
-    least = F.create_map(*[x for n, v in LEAST.items() for x in (F.lit(n), F.lit(v))])
-    spread = REACH * F.greatest(F.col("q3") - F.col("q1"), least[F.col("rate")])
-    fence = F.struct((F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
-    fields = [F.max(F.when(F.col("rate") == n, fence)).alias(n) for n in LEAST]
+    of = lambda values: F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.lit(v))])[F.col("rate")]
+    span = REACH * (F.col("q3") - F.col("q1"))
+    low = F.col("q1") - F.greatest(span, REACH * of(LEAST | WIDEST))
+    tail = F.when((F.col("docs") >= TAIL_DOCS) & F.col("rate").isin(*WIDEST), F.greatest(2 * (F.col("end") - F.col("q3")), of(LEAST)))
+    each = each.select(*by, "rate", "docs", "q3", low.alias("low"), span.alias("span"), tail.alias("tail"))
+    each = each.withColumn("high", upper(F.col("q3"), F.col("span"), F.col("tail"), REACH * of(LEAST | WIDEST)))
+    fields = [F.max(F.when(F.col("rate") == n, F.struct(*LIMITS))).alias(n) for n in LEAST]
     return each.groupBy(*by).agg(F.max("docs").alias("docs"), *fields).select(*by, "docs", F.struct(*LEAST).alias("fence"))
 
 
+#: Both ends, and what the upper one is made of: quartile, ``REACH`` ranges, length of the tail (null if too few texts tell it).
+LIMITS = ["low", "high", "q3", "span", "tail"]
+
+
+def upper(q3: Column, span: Column, tail: Column, widest: Column) -> Column:
+    """The upper fence; without a tail it is ``widest``, or the group's own span, beyond the quartile."""
+    return q3 + F.greatest(span, F.least(tail, widest))
+
+
 def thresholds(counted: DataFrame) -> DataFrame:
     """``lang, source, fence`` for each group: its own, its language's or all texts'."""
     sketch = saved(sketches(counted), "quality-sketches")
     own, language = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"])
-    whole = fences(sketch.withColumn("all", F.lit(0)), ["all"]).select("fence").first()  # one row of eight numbers
+    whole = fences(sketch.withColumn("all", F.lit(0)), ["all"]).select("fence").first()  # one row of twenty numbers
     groups = counted.select(_name("lang").alias("lang"), _name("source").alias("source")).distinct()
     level = lambda df, name, keys: df.select(*keys, F.struct("docs", "fence").alias(name))
     found = groups.join(level(own, "_own", ["lang", "source"]), ["lang", "source"], "left").join(level(language, "_lang", ["lang"]), "lang", "left")
     enough = lambda name: F.when(F.col(f"{name}.docs") >= MIN_DOCS, F.col(f"{name}.fence"))
-    limits = [enough("_own"), enough("_lang")]
+    limits, tails = [enough("_own"), enough("_lang")], [F.col("_own.fence"), F.col("_lang.fence")]
     if whole:
-        ends = {n: F.struct(F.lit(whole["fence"][n]["low"]).alias("low"), F.lit(whole["fence"][n]["high"]).alias("high")) for n in LEAST}
+        ends = {n: F.struct(*[F.lit(whole["fence"][n][x]).cast("double").alias(x) for x in LIMITS]) for n in LEAST}
         limits.append(F.struct(*[end.alias(n) for n, end in ends.items()]))
-    return found.select("lang", "source", F.coalesce(*limits).alias("fence"))
+        tails.append(limits[-1])
+    found = found.select("lang", "source", F.coalesce(*limits).alias("_fence"), *[F.coalesce(*[t[n]["tail"] for t in tails]).alias(f"_{n}") for n in WIDEST])
+
+    def ends_of(name):
+        f = F.col(f"_fence.{name}")
+        high = upper(f["q3"], f["span"], F.col(f"_{name}"), F.lit(REACH * WIDEST[name])) if name in WIDEST else f["high"]
+        return F.struct(f["low"].alias("low"), high.alias("high")).alias(name)
+
+    return found.select("lang", "source", F.when(F.col("_fence").isNotNull(), F.struct(*map(ends_of, LEAST))).alias("fence"))
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:

@@ -107,3 +107,32 @@ def test_query_on_awkward_and_empty_tables(spark, folder, tmp_path):
     assert op3_adaptive_quality(spark, str(tmp_path)).collect() == []
     assert op7_systematic_mixture(spark, str(tmp_path)).collect() == []
     assert quality.with_counts(frame(spark, awkward())).filter(F.col("text").isNull() & ~F.col("base_failed")).count() == 0
+
+
+def counted_rows(spark, sources):
+    """1,300 texts a source, with so many symbols and characters more; one in fifty repeats lines and words."""
+    rows = []
+    for source, (symbols, length, tail) in sources.items():
+        for i in range(1_300):
+            high = tail if i < 26 else 0
+            rows.append((len(rows), "en", source, 100, 500 + i % length, i % (symbols + 1), high, 100, high, False))
+    names = "doc_id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_lines bigint, n_repeat_words bigint, base_failed boolean"
+    return spark.createDataFrame(rows, names), names
+
+
+def test_each_fence_follows_its_own_group(spark):
+    counted, names = counted_rows(spark, {"calm": (1, 40, 4), "lively": (12, 160, 14)})
+    limits = {r["source"]: r["fence"] for r in quality.thresholds(counted).collect()}
+    for rate in quality.LEAST:
+        assert limits["vlively"][rate]["high"] > 1.2 * limits["vcalm"][rate]["high"] > 0, rate
+    # one rate of each text is beyond its calm group's fence and within its neighbour's
+    probes = [(500, 10, 0, 0), (620, 0, 0, 0), (500, 0, 20, 0), (500, 0, 0, 20)]
+    tried = [(i, "en", s, 100, chars, symbols, lines, 100, words, False) for s in ("calm", "lively") for i, (chars, symbols, lines, words) in enumerate(probes)]
+    got = quality.judged(spark.createDataFrame(tried, names), quality.thresholds(counted)).collect()
+    assert {(r["source"], r["kept"]) for r in got} == {("calm", False), ("lively", True)}
+
+
+def test_junk_in_the_tail_does_not_move_the_fence_beyond_its_limit(spark):
+    counted, _ = counted_rows(spark, {"spoilt": (1, 40, 90)})
+    fence = quality.thresholds(counted).first()["fence"]
+    assert fence["dup_lines"]["high"] == quality.REACH * 15 and fence["repeats"]["high"] == quality.REACH * 12

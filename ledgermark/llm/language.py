@@ -12,8 +12,11 @@ A row is rejected if its text has fewer than ``MIN_LETTERS`` letters or no
 language reaches ``MIN_POSTERIOR``. Trigrams are not independent, so a text counts
 as ``MOST_EVIDENCE`` of them at most, whole texts being read all the same.
 
-The model is fitted on a sample of about ``SAMPLE`` labelled rows, drawn by a
-digest of the id; it is a table of 65,536 hashed trigrams by language. Counts
+The model is fitted on about ``SAMPLE`` rows of each label, drawn by a digest of id
+and text; a label with no more rows gives all, so every label is a language at
+any size of the input. It is a table of 65,536 hashed trigrams by language (256 KB
+each); what no text of a language has is as unlikely in a rare one as in the
+commonest, so that odd texts don't fall to the rare. Counts
 cover all rows and are added up before they are shuffled, and a common host is
 one row of the table joined back. Null or unknown declarations, suffixes and
 hosts are values of their own. Null and empty texts are rejected.
@@ -33,7 +36,8 @@ from ledgermark.llm.shared import portions, saved, schema_with, text_bytes, with
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE = 6_000
+SAMPLE = 1_500
+DIGESTS = 1 << 40
 CELLS = 1 << 16
 MOST_EVIDENCE = 200
 STRENGTH = 10.0
@@ -66,12 +70,19 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(sums[offsets])
 
 
+def training_rows(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """About ``sample`` rows of each label; all rows of a label with no more than that."""
+    known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    common = known.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > sample).collect()  # a row a language
+    if not common:
+        return known
+    limits = F.create_map(*[F.lit(x) for r in common for x in (r["label"], max(1, sample * DIGESTS // r["n"]))])
+    return known.filter(F.pmod(F.xxhash64(F.lit("language"), key, text), F.lit(DIGESTS)) < F.coalesce(limits[F.col(label)], F.lit(DIGESTS)))
+
+
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """The languages and the log probability of each trigram cell by language."""
-    known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    n = known.count()
-    share = min(1.0, sample / max(n, 1))
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit("language"), key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    drawn = training_rows(labelled, text, label, key, sample)
 
     def run(batches):
         for batch in batches:
@@ -87,8 +98,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     counted = rows.groupBy("label", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most a row a cell and language
     names = sorted(counted["label"].unique().tolist())
     table = np.full((CELLS, max(len(names), 1)), 0.1)
+    totals = counted.groupby("label")["n"].sum()
     for i, name in enumerate(names):
         own = counted[counted["label"] == name]
+        table[:, i] *= totals[name] / totals.max()
         table[own["cell"].to_numpy(), i] += own["n"].to_numpy()
     return names, np.log(table / table.sum(axis=0)).astype(np.float32)
 

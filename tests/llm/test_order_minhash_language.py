@@ -167,3 +167,20 @@ def test_awkward_rows_and_empty_tables(spark):
     assert ids.count(9) == 3 and 0 not in ids and 1 not in ids and 2 not in ids
     assert language.accepted(frame(spark, [], SCHEMA)).collect() == []
     assert language.accepted(frame(spark, [(1, "some text", None, None, 9)])).collect() == []
+
+
+def test_rare_labels_are_languages_at_any_size(spark, docs):
+    other = lambda i: " ".join("".join("ŵŷxqzkj"[ord(c) % 7] for c in w) for w in prose(i, 60).split())
+    common = docs.filter("lang in ('en', 'fr')").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10_000_000 + i, other(i), "zz") for i in range(4)], "doc_id bigint, text string, lang string")
+    labelled = common.unionByName(rare)
+    drawn = {r["lang"]: r["count"] for r in language.training_rows(labelled, sample=30).groupBy("lang").count().collect()}
+    assert drawn["zz"] == 4 and 10 <= drawn["en"] <= 60 and 10 <= drawn["fr"] <= 60
+    names, table = language.train(labelled, sample=30)
+    assert names == ["en", "fr", "zz"]
+    texts = [other(2), other(3), "%!? ()-+ ÆØÅ Ωδ 漢字 Жщ" * 20]
+    rows = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], "id bigint, text string, declared string, address string, host string")
+    rows = rows.unionByName(common.select(F.col("doc_id") + 100, "text", F.lit(""), F.lit(""), F.lit("")).toDF(*rows.columns))
+    got = {r["id"]: r["language"] for r in language.fused(language.with_sources(language.text_scores(rows, names, table)), names).collect()}
+    assert (got[0], got[1]) == ("zz", "zz") and got[2] != "zz"
+    assert sum(x == "zz" for i, x in got.items() if i >= 100) < 0.01 * len(got)

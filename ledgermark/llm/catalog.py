@@ -17,6 +17,9 @@ _MODULES = (
     "url_lists_query",
     "near_dups_query",
     "bpe_query",
+    "negatives_query",
+    "repair_query",
+    "pii_query",
 )
 
 

@@ -1,31 +1,89 @@
-"""New completion files, once each (STM-1)."""
+"""New completion files, once each (STM-1).
+
+A stream takes in the files that arrived; which keys have been stored is state
+of the stream, kept by key in RocksDB, so a batch neither lists nor reads what
+earlier ones wrote. Only the first row of a key within a batch is left to
+settle: Arrow tasks keep each key's first row of what they read, then of what a
+shuffle by key brings together, and what reaches the state is one row a key. A
+key that many rows share is reduced before the shuffle.
+"""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgermark.operators.joins import without_done
-from ledgermark.operators.shards import dedup_keep_first
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH = "batch_id"
-BUCKET = "key_bucket"
-BUCKETS = 256
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Where a row stands among all arrivals; the line is counted while reading.
+_LINE = "_line"
+_ORDER = ["_mtime", "_file", "_block", _LINE]
 
 
 def read_ingested(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
     """What has been ingested so far, with the number of its batch."""
-    return _stored(spark, out_dir, schema).drop(BUCKET)
-
-
-def _stored(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
+    stored = f"{schema}, {BATCH} bigint"
     try:
-        return spark.read.schema(f"{schema}, {BATCH} bigint, {BUCKET} int").parquet(out_dir)
+        return spark.read.schema(stored).parquet(out_dir)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], f"{schema}, {BATCH} bigint, {BUCKET} int")
+        return spark.createDataFrame([], stored)
+
+
+def _same(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first equals the one before; null equals null."""
+    column = column.combine_chunks()
+    here, before = column.slice(1), column.slice(0, len(column) - 1)
+    equal = pc.or_(pc.fill_null(pc.equal(here, before), False), pc.and_(here.is_null(), before.is_null()))
+    return equal.to_numpy(zero_copy_only=False)
+
+
+def first_rows(batches: list[pa.RecordBatch], keys: list[str], order: list[str]) -> list[pa.RecordBatch]:
+    """The first row of every key, in batches cut from the given ones; only keys and places are sorted."""
+    table = pa.Table.from_batches([b.select([*keys, *order]) for b in batches])
+    if not table.num_rows:
+        return []
+    ranked = pc.sort_indices(table, sort_keys=[(n, "ascending") for n in [*keys, *order]])
+    sorted_keys = table.select(keys).take(ranked)
+    repeated = np.ones(table.num_rows - 1, bool)
+    for key in keys:
+        repeated &= _same(sorted_keys.column(key))
+    winners = np.sort(ranked.to_numpy().astype(np.int64)[np.concatenate([[True], ~repeated])])
+    ends = np.cumsum([b.num_rows for b in batches])
+    cut = np.split(winners, np.searchsorted(winners, ends[:-1]))
+    return [b.take(pa.array(rows - (end - b.num_rows))) for b, rows, end in zip(batches, cut, ends, strict=True) if len(rows)]
+
+
+def _firsts(keys: list[str], order: list[str], count_lines: bool):
+    """A task that passes on each key's first row; settled whenever what it holds has doubled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, settled, line = [], 0, 0, 0
+        for batch in batches:
+            if count_lines:
+                lines = pa.array(np.arange(line, line + batch.num_rows), pa.int64())
+                line += batch.num_rows
+                batch = pa.RecordBatch.from_arrays([*batch.columns, lines], names=[*batch.schema.names, _LINE])
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > 2 * settled + 10_000:
+                held = first_rows(held, keys, order)
+                rows = settled = sum(b.num_rows for b in held)
+        yield from first_rows(held, keys, order) if held else []
+
+    return run
 
 
 def ingest_completions_stream(
@@ -36,16 +94,16 @@ def ingest_completions_stream(
     schema: str,
     keys: tuple[str, ...] = ("id", "sample_idx"),
     max_files: int = 1000,
-    buckets: int = BUCKETS,
 ) -> None:
     """STM-1: take in the JSON line files that arrived since the last run, first row per key.
 
-    Each micro-batch owns the folder of its batch number and overwrites it, so
-    a replayed batch leaves one copy. Rows are stored by hash bucket of their
-    key, and those whose key an earlier batch holds are dropped by an anti join
-    that reads the key columns of the buckets the batch touches, and no others.
+    First is by time of the file, its path, block and line; null keys are equal.
+    Each micro-batch owns the folder of its batch number and overwrites it; a
+    replayed batch starts from the state of the one before, so it leaves one
+    copy. The number of shuffle partitions is that of the first run. A task
+    holds the first rows of its share of a batch, which ``max_files`` bounds.
     """
-    stream = (
+    arrived = (
         spark.readStream.schema(schema)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files)
@@ -57,23 +115,22 @@ def ingest_completions_stream(
             F.col("_metadata.file_block_start").alias("_block"),
         )
     )
+    numbered = StructType([*arrived.schema.fields, StructField(_LINE, LongType())])
+    here = arrived.mapInArrow(_firsts(list(keys), _ORDER, True), numbered)
+    firsts = here.repartition(*keys).mapInArrow(_firsts(list(keys), _ORDER, False), numbered)
+    fresh = firsts.drop(*_ORDER).dropDuplicates(list(keys))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        ordered = batch.withColumn("_line", F.monotonically_increasing_id())
-        first = dedup_keep_first(ordered, list(keys), ["_mtime", "_file", "_block", "_line"])
-        first = first.drop("_mtime", "_file", "_block", "_line")
-        first = first.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        touched = [row[0] for row in first.select(BUCKET).distinct().collect()]  # at most one a bucket
-        earlier = _stored(session, out_dir, schema).filter((F.col(BATCH) < batch_id) & F.col(BUCKET).isin(touched))
-        fresh = without_done(first, earlier, list(keys))
-        fresh.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{out_dir}/{BATCH}={batch_id}")
-        first.unpersist()
-
-    (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+        batch.write.mode("overwrite").parquet(f"{out_dir}/{BATCH}={batch_id}")
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    provider = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        query = fresh.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if provider is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, provider)

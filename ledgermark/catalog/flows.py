@@ -72,15 +72,31 @@ UNION ALL SELECT 'all', 'percent', printf('%.2f', avg(em)), printf('%.2f', avg(f
     name="tatqa_report",
 )
 def evaluation_report(spark, sf_dir):
-    """SCO-8, AGG-4, AGG-5: EM and F1 pivots in hundredths of a per cent, and the percentages of all rows."""
-    reports = evaluate_predictions(*_gold_and_predictions(spark, sf_dir))
-    cell = lambda c: scaled(F.col(f"`{c}`"), 10000).cast("string")
-    pivots = [
-        reports[f"{metric}_by_type"].select("answer_type", F.lit(metric).alias("metric"), cell("table").alias("a"), cell("text").alias("b"), cell("table-text").alias("c"))
-        for metric in ("f1", "em")
-    ]
-    percent = reports["percent"].select(F.lit("all").alias("answer_type"), F.lit("percent").alias("metric"), F.col("em").alias("a"), F.col("f1").alias("b"), F.col("scale_em").alias("c"))
-    return pivots[0].unionByName(pivots[1]).unionByName(percent)
+    """SCO-8, AGG-4, AGG-5: EM and F1 pivots in hundredths of a per cent, and the percentages of all rows; scored once."""
+    listed = evaluate_predictions(*_gold_and_predictions(spark, sf_dir))["listed"]
+    wanted = listed.filter(F.col("report").isin("em_by_type", "f1_by_type") | ((F.col("report") == "overall") & F.col("column").isin("em", "f1", "scale_em")))
+    overall = F.col("report") == "overall"
+    shown = lambda v: F.when(overall, F.translate(F.format_number(v * 100, 2), ",", "")).otherwise(scaled(v, 10000).cast("string"))
+    value = lambda *columns: shown(F.coalesce(F.max(F.when(F.col("column").isin(*columns), F.col("value"))), F.lit(0.0)))
+    return wanted.groupBy("report", F.col("row").alias("answer_type")).agg(
+        value("table", "em").alias("a"), value("text", "f1").alias("b"), value("table-text", "scale_em").alias("c")
+    ).select("answer_type", F.when(overall, "percent").otherwise(F.substring("report", 1, 2)).alias("metric"), "a", "b", "c")
+
+
+@query(
+    _SCORED_SQL
+    + """, o AS (SELECT uid, answer_type, source, em / 100.0 AS em, f1 / 100.0 AS f1, scale_em::INT AS scale_em, CASE answer_type WHEN 'span' THEN '' ELSE 'million' END AS scale FROM s)
+SELECT report, "row", "column", round(value * 10000)::BIGINT AS value_e4 FROM (
+  SELECT 'overall' AS report, 'all' AS "row", unnest(['em', 'f1', 'scale_em', 'op_em', 'total']) AS "column", unnest([avg(em), avg(f1), avg(scale_em), 0, count(*)]::DOUBLE[]) AS value FROM o
+  UNION ALL SELECT unnest(['em_by_type', 'f1_by_type', 'count_by_type']), answer_type, source, unnest([avg(em), avg(f1), count(*)]::DOUBLE[]) FROM o GROUP BY answer_type, source
+  UNION ALL SELECT 'by_scale', d.scale, unnest(['correct', 'total', 'accuracy']), unnest([coalesce(sum(scale_em), 0), count(o.uid), coalesce(avg(scale_em), 0)]::DOUBLE[])
+    FROM (VALUES (''), ('thousand'), ('million'), ('billion'), ('percent')) AS d(scale) LEFT JOIN o ON o.scale = d.scale GROUP BY d.scale)""",
+    name="tatqa_all_reports",
+)
+def all_reports(spark, sf_dir):
+    """SCO-8, AGG-4 to AGG-7: every report of an evaluation in one result, by GROUPING SETS over one scoring."""
+    listed = evaluate_predictions(*_gold_and_predictions(spark, sf_dir))["listed"]
+    return listed.select("report", "row", "column", scaled(F.col("value"), 10000).alias("value_e4"))
 
 
 @query(

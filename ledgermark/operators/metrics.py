@@ -97,6 +97,106 @@ def op_breakdown(scored: DataFrame, with_ignored: bool = False) -> DataFrame:
     )
 
 
+#: What one pass over the scored rows leaves: how often, sums, and how many had a value.
+_TALLIES = ("n", "em", "em_n", "f1", "f1_n", "scale_right", "op_right", "op_seen")
+_DIMENSIONS = ("answer_type", "answer_from", "scale", "gold_op")
+#: Grouping ids: a bit is set for each dimension, in order, that is summed over.
+_ALL, _BY_TYPE, _BY_SCALE, _BY_OP = 0b1111, 0b0011, 0b1101, 0b1110
+
+
+def evaluation_cells(scored: DataFrame) -> DataFrame:
+    """AGG-4 to AGG-8 in one pass: tallies by GROUPING SETS of everything, type and source, scale, and operator.
+
+    The rows are combined once by all four dimensions, and the grouping sets run
+    over those few rows. Scales and operators that are always reported, and the
+    total of no rows, come in as rows of zeros; nothing is joined.
+    """
+    has_ops = {"pred_op", "gold_op"} <= set(scored.columns)
+    gold_op = F.col("gold_op") if has_ops else F.lit(None).cast("string")
+    seen = F.col("pred_op").isNotNull() if has_ops else F.lit(False)
+    right = F.col("pred_op") == F.col("gold_op") if has_ops else F.lit(False)
+    fine = scored.groupBy("answer_type", "answer_from", "scale", gold_op.alias("gold_op")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum("em").cast("double"), F.lit(0.0)).alias("em"),
+        F.count("em").alias("em_n"),
+        F.coalesce(F.sum("f1").cast("double"), F.lit(0.0)).alias("f1"),
+        F.count("f1").alias("f1_n"),
+        F.sum(_right("scale_em")).alias("scale_right"),
+        F.sum(_right(right)).alias("op_right"),
+        F.sum(_right(seen)).alias("op_seen"),
+    )
+    text, none = fine.schema["scale"].dataType, F.lit(None)
+    listed = [(v, None) for v in SCALES] + [(None, v) for v in OPERATORS]
+    zeros = scored.sparkSession.createDataFrame(listed, "scale string, gold_op string").select(
+        none.cast("string").alias("answer_type"),
+        none.cast("string").alias("answer_from"),
+        F.col("scale").cast(text).alias("scale"),
+        "gold_op",
+        *[F.lit(0).cast(fine.schema[t].dataType).alias(t) for t in _TALLIES],
+    )
+    sets = [[], ["answer_type", "answer_from"], ["scale"], ["gold_op"]]
+    sums = [F.sum(t).alias(t) for t in _TALLIES]
+    return fine.unionByName(zeros).groupingSets(sets, *_DIMENSIONS).agg(F.grouping_id().alias("cells"), *sums)
+
+
+def _mean(total: str, count: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(total).cast("double"), F.col(count).cast("double")), F.lit(0.0))
+
+
+def overall_from(cells: DataFrame) -> DataFrame:
+    """AGG-4 from ``evaluation_cells``."""
+    return cells.filter(F.col("cells") == _ALL).select(
+        _mean("em", "em_n").alias("em"),
+        _mean("f1", "f1_n").alias("f1"),
+        _mean("scale_right", "n").alias("scale_em"),
+        _mean("op_right", "n").alias("op_em"),
+        F.col("n").alias("total"),
+    )
+
+
+def pivot_from(cells: DataFrame, metric: str | None, values: tuple[str, ...] = ANSWER_SOURCES) -> DataFrame:
+    """AGG-5 of a metric, or AGG-6 without one, from ``evaluation_cells``."""
+    own = _mean(metric, f"{metric}_n") if metric else F.col("em_n")
+    typed = cells.filter((F.col("cells") == _BY_TYPE) & (F.col("n") > 0))
+    found = [F.coalesce(F.max(F.when(F.col("answer_from") == v, own)), F.lit(0 if not metric else 0.0)).alias(v) for v in values]
+    return typed.groupBy("answer_type").agg(*found)
+
+
+def breakdown_from(cells: DataFrame, name: str) -> DataFrame:
+    """AGG-7 (``scale``) or AGG-8 (``gold_op``) from ``evaluation_cells``."""
+    group, domain, right, total = {"scale": (_BY_SCALE, SCALES, "scale_right", "n"), "gold_op": (_BY_OP, OPERATORS, "op_right", "op_seen")}[name]
+    rows = cells.filter((F.col("cells") == group) & F.col(name).isin(*domain))
+    return rows.select(name, F.col(right).alias("correct"), F.col(total).alias("total"), _mean(right, total).alias("accuracy"))
+
+
+def listed_reports(cells: DataFrame) -> DataFrame:
+    """``report, row, column, value``: every report of ``evaluation_cells`` in one result, in one pass over it."""
+    entry = lambda report, row, column, value: F.struct(
+        F.lit(report).alias("report"), row.alias("row"), column.alias("column"), value.cast("double").alias("value")
+    )
+    name, c, every = F.lit, F.col, F.lit("all")
+    of = {
+        _ALL: [entry("overall", every, name(k), v) for k, v in (
+            ("em", _mean("em", "em_n")), ("f1", _mean("f1", "f1_n")), ("scale_em", _mean("scale_right", "n")),
+            ("op_em", _mean("op_right", "n")), ("total", c("n")),
+        )],
+        _BY_TYPE: [entry(f"{k}_by_type", c("answer_type"), c("answer_from"), v) for k, v in (
+            ("em", _mean("em", "em_n")), ("f1", _mean("f1", "f1_n")), ("count", c("em_n")),
+        )],
+        _BY_SCALE: [entry("by_scale", c("scale"), name(k), v) for k, v in (
+            ("correct", c("scale_right")), ("total", c("n")), ("accuracy", _mean("scale_right", "n")),
+        )],
+        _BY_OP: [entry("by_op", c("gold_op"), name(k), v) for k, v in (
+            ("correct", c("op_right")), ("total", c("op_seen")), ("accuracy", _mean("op_right", "op_seen")),
+        )],
+    }
+    entries = F.lit(None)
+    for cells_id, made in of.items():
+        entries = F.when(F.col("cells") == cells_id, F.array(*made)).otherwise(entries)
+    reported = (c("cells") == _ALL) | ((c("cells") == _BY_TYPE) & (c("n") > 0)) | ((c("cells") == _BY_SCALE) & c("scale").isin(*SCALES)) | ((c("cells") == _BY_OP) & c("gold_op").isin(*OPERATORS))
+    return cells.filter(reported).select(F.explode(entries).alias("e")).select("e.*")
+
+
 def weighted_mean(df: DataFrame, value: str, weight: str, pos: str, by: list[str] | None = None) -> DataFrame:
     """AGG-9: weighted sum, weight, their ratio, and the value at the last position."""
     total = F.sum(F.col(value) * F.col(weight))

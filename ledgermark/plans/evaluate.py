@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgermark.functions.answers import (
@@ -16,7 +16,7 @@ from ledgermark.functions.cleanup import after_marker, sanitise_code
 from ledgermark.functions.numbers import finqa_equal
 from ledgermark.functions.programs import run_assignments
 from ledgermark.operators.joins import join_predictions
-from ledgermark.operators.metrics import count_pivot, metric_pivot, op_breakdown, overall_metrics, percentages, scale_breakdown
+from ledgermark.operators.metrics import breakdown_from, evaluation_cells, listed_reports, overall_from, percentages, pivot_from
 from ledgermark.operators.scoring import explode_gold, score_predictions
 from ledgermark.operators.votes import majority_vote, vote_pair
 
@@ -27,24 +27,42 @@ _LIST_ITEM = r"""('(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^,\s'"][^,]*)"""
 
 
 def evaluate_predictions(gold_documents: DataFrame, predictions: DataFrame, strict_compat: bool = False) -> dict[str, DataFrame]:
-    """SCO-8: the scored rows and every report made from them.
+    """SCO-8: the scored rows, the few ``cells`` of one pass over them, and every report cut from those.
 
-    Persist ``scored`` before running more than one report.
+    ``listed`` holds all reports in one result and reads the rows once. The
+    others are one report each; write ``cells`` to make several without scoring again.
     """
     scored = score_predictions(join_predictions(explode_gold(gold_documents), predictions), strict_compat)
-    overall = overall_metrics(scored)
+    return {"scored": scored} | evaluation_reports(evaluation_cells(scored), {"pred_op", "gold_op"} <= set(scored.columns))
+
+
+def evaluation_reports(cells: DataFrame, with_ops: bool = True) -> dict[str, DataFrame]:
+    """Every report that ``evaluation_cells``, or a table written of them, holds."""
+    overall = overall_from(cells)
     reports = {
-        "scored": scored,
+        "cells": cells,
+        "listed": listed_reports(cells) if with_ops else listed_reports(cells).filter("report <> 'by_op'"),
         "overall": overall,
         "percent": percentages(overall, PERCENT_COLUMNS),
-        "em_by_type": metric_pivot(scored, "em"),
-        "f1_by_type": metric_pivot(scored, "f1"),
-        "count_by_type": count_pivot(scored),
-        "by_scale": scale_breakdown(scored),
+        "em_by_type": pivot_from(cells, "em"),
+        "f1_by_type": pivot_from(cells, "f1"),
+        "count_by_type": pivot_from(cells, None),
+        "by_scale": breakdown_from(cells, "scale"),
     }
-    if {"pred_op", "gold_op"} <= set(scored.columns):
-        reports["by_op"] = op_breakdown(scored)
-    return reports
+    return reports | {"by_op": breakdown_from(cells, "gold_op")} if with_ops else reports
+
+
+def write_scored(scored: DataFrame, path: str) -> dict:
+    """Write the scored rows as JSON lines; ``total, em, f1, scale_em`` observed on the way, without another pass."""
+    totals = Observation()
+    scored.observe(
+        totals,
+        F.count(F.lit(1)).alias("total"),
+        F.coalesce(F.avg("em"), F.lit(0.0)).alias("em"),
+        F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"),
+        F.coalesce(F.avg(F.coalesce("scale_em", F.lit(False)).cast("int")), F.lit(0.0)).alias("scale_em"),
+    ).write.mode("overwrite").json(path)
+    return totals.get
 
 
 def predict_from_outputs(outputs: DataFrame, marker: str = "#Python:\n", which: int = -1, until: str = "\n\n", many_samples: bool = True) -> DataFrame:

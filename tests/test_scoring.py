@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from ledgermark.functions import scoring as S
 from ledgermark.operators.joins import join_predictions
-from ledgermark.operators.metrics import count_pivot, metric_pivot, op_breakdown, overall_metrics, scale_breakdown
+from ledgermark.operators.metrics import count_pivot, evaluation_cells, metric_pivot, op_breakdown, overall_metrics, scale_breakdown
 from ledgermark.operators.scoring import score_predictions
-from ledgermark.plans.evaluate import evaluate_predictions
+from ledgermark.plans.evaluate import evaluate_predictions, evaluation_reports, write_scored
 from ledgermark.schemas import GOLD_DOCUMENT
 
 PHRASE = "The fair value of options granted to directors during the year"
@@ -138,3 +138,26 @@ def test_prediction_listed_twice(spark):
     gold = spark.createDataFrame([("u",), ("v",)], "uid string")
     pred = spark.createDataFrame([("u", "old", 1), ("u", "new", 2), ("w", "x", 3)], "uid string, pred string, pos int")
     assert sorted(join_predictions(gold, pred, pos="pos").collect(), key=str) == [("u", "new"), ("v", None)]
+
+
+def test_reports_from_one_pass(spark, tmp_path):
+    """What the grouping sets give is what each report gives by itself."""
+    scored = scored_rows(spark).unionByName(scored_rows(spark).withColumn("answer_type", F.lit("span")).withColumn("em", F.lit(None).cast("double")))
+    for rows in (scored, scored.filter("false"), scored.drop("pred_op", "gold_op")):
+        reports = evaluation_reports(evaluation_cells(rows), "pred_op" in rows.columns)
+        own = {"overall": overall_metrics(rows), "em_by_type": metric_pivot(rows, "em"), "f1_by_type": metric_pivot(rows, "f1"), "count_by_type": count_pivot(rows), "by_scale": scale_breakdown(rows)}
+        if "pred_op" in rows.columns:
+            own["by_op"] = op_breakdown(rows)
+        for name, df in own.items():
+            assert sorted(map(tuple, reports[name].select(df.columns).collect())) == sorted(map(tuple, df.collect())), name
+        listed = reports["listed"].collect()
+        assert {r.report for r in listed} >= {"overall", "by_scale"} and ("by_op" in {r.report for r in listed}) == ("by_op" in own)
+    totals = write_scored(scored, str(tmp_path / "scored"))
+    assert totals["total"] == 6 == spark.read.json(str(tmp_path / "scored")).count() and totals["f1"] == pytest.approx(0.5)
+
+
+def test_all_reports_score_once(golden):
+    from tests.test_operators import plan_of  # noqa: PLC0415
+
+    plan = plan_of(evaluate_predictions(*golden)["listed"])
+    assert plan.count("Join") == 1 and "ReusedExchange" not in plan

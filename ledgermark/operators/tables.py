@@ -10,47 +10,88 @@ from ledgermark.functions.numbers import strip_digit_commas
 from ledgermark.functions.tables import table_line
 from ledgermark.operators.conversations import gathered
 
+#: What a pattern's blank class stands for.
+_BLANKS = " \t\n\x0b\f\r"
 
-def _cells(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"^\|+|\|+$", "")
-    return F.transform(F.split(bare, r"\|"), lambda cell: F.regexp_replace(cell, r"^\s+|(?<!\s)\s++$", ""))
+
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(_BLANKS))
+
+
+def _bare(line: Column) -> Column:
+    """A line without its outer bars."""
+    return F.btrim(line, F.lit("|"))
+
+
+def _cells(bare: Column) -> Column:
+    return F.transform(F.split(bare, r"\|"), _trimmed)
+
+
+def _last_lines(lines: Column) -> Column:
+    """``line, start, stop``: for each row name the cells, by place, that no later line of that name has.
+
+    A line that is longer than those after it is left with the places they
+    lack. For each length that occurs, the last line of a name with at least
+    that many cells has the places from the next shorter length up to it.
+    """
+    ranked = F.array_sort(F.transform(lines, lambda x, k: F.struct(x["name"].alias("name"), k.alias("k"), x["n"].alias("n"))))
+    lengths = lambda order: F.array_sort(F.array_distinct(F.transform(order, lambda x: x["n"])))
+
+    def lasts(long_enough: Column, start: Column, stop: Column) -> Column:
+        last = F.filter(long_enough, lambda x, k: ~x["name"].eqNullSafe(F.get(long_enough, k + 1)["name"]))
+        return F.transform(last, lambda x: F.struct(F.get(lines, x["k"]).alias("line"), start.alias("start"), stop.alias("stop")))
+
+    return bind(
+        ranked,
+        lambda order: bind(
+            lengths(order),
+            lambda found: F.flatten(
+                F.transform(
+                    found,
+                    lambda n, i: bind(F.filter(order, lambda x: x["n"] >= n), lambda held: lasts(held, F.coalesce(F.get(found, i - 1), F.lit(0)), n)),
+                )
+            ),
+        ),
+    )
 
 
 def parse_markdown_table(df: DataFrame, table_id: str = "table_id", text: str = "text", keep_last: bool = True) -> DataFrame:
     """TAB-1: ``table_id, row_key, column, value`` with the row and column positions.
 
     Blanks in headers become underscores, the second line is skipped, the first
-    cell names the row and short rows are cut. A name used twice keeps its last
-    cell unless ``keep_last`` is off. The text is split once into header and
-    lines, and only lines are exploded. Names repeated in the header are settled
-    there; then a row named twice is the only repeat left, told by position.
+    cell names the row and short rows are cut. A name used twice in a text, for a
+    row or in the header, keeps its last cell unless ``keep_last`` is off; texts
+    that share an id stay apart. Which lines stand is settled from the row names
+    and lengths before any cell is parsed, in the row that holds the text: one
+    scan, no shuffle, and only the lines that are left are exploded.
     """
-    lines = F.split(F.regexp_replace(F.col(text), r"^\s+|(?<!\s)\s++$", ""), "\n")
+    lines = F.split(_trimmed(F.col(text)), "\n")
     split = df.select(table_id, lines.alias("_lines"))
-    names = F.transform(_cells(F.get("_lines", F.lit(0))), lambda h: F.replace(h, F.lit(" "), F.lit("_")))
+    names = F.transform(_cells(_bare(F.get("_lines", F.lit(0)))), lambda h: F.replace(h, F.lit(" "), F.lit("_")))
     body = F.transform(F.slice("_lines", F.lit(3), F.size("_lines")), lambda line, i: F.struct(i.alias("at"), line.alias("line")))
-    parts = split.select(table_id, names.alias("_h"), F.filter(body, lambda x: x["line"] != "").alias("_body"))
-    rows = parts.select(table_id, "_h", F.explode("_body").alias("_b")).select(
-        table_id, "_h", F.col("_b.at").alias("row_pos"), _cells(F.col("_b.line")).alias("_c")
-    )
-    cells = F.transform(
-        F.slice("_c", F.lit(1), F.least(F.size("_h"), F.size("_c"))),
-        lambda c, i: F.struct(i.alias("at"), F.get(F.col("_h"), i).alias("name"), c.alias("value")),
+    filled = F.filter(body, lambda x: x["line"] != "")
+    parts = split.select(table_id, names.alias("_h"), F.transform(filled, lambda x: F.struct(x["at"], _bare(x["line"]).alias("bare"))).alias("_b"))
+    bars = lambda bare: F.length(bare) - F.length(F.replace(bare, F.lit("|"), F.lit("")))
+    named = F.transform(
+        "_b",
+        lambda x: F.struct(
+            x["at"], x["bare"], _trimmed(F.substring_index(x["bare"], "|", 1)).alias("name"), F.least(F.size("_h"), bars(x["bare"]) + 1).alias("n")
+        ),
     )
-    rows = rows.select(table_id, F.get("_c", F.lit(0)).alias("row_key"), "row_pos", cells.alias("_p"))
+    parts = parts.select(table_id, "_h", named.alias("_b"))
+    whole = F.transform("_b", lambda x: F.struct(x.alias("line"), F.lit(0).alias("start"), x["n"].alias("stop")))
+    rows = parts.select(table_id, "_h", F.explode(_last_lines(F.col("_b")) if keep_last else whole).alias("_r"))
+    rows = rows.select(table_id, "_h", "_r.line.*", "_r.start", "_r.stop").withColumn("_c", F.slice(_cells(F.col("bare")), F.lit(1), F.col("n")))
+    cells = F.transform("_c", lambda c, i: F.struct(i.alias("at"), F.get(F.col("_h"), i).alias("name"), c.alias("value")))
     if keep_last:
-        # within a row the last cell of a name stands
-        later = F.filter("_p", lambda p: ~F.exists(F.col("_p"), lambda q: (q["name"] == p["name"]) & (q["at"] > p["at"])))
-        repeated = F.size(F.array_distinct(F.transform("_p", lambda p: p["name"]))) < F.size("_p")
-        rows = rows.withColumn("_p", F.when(repeated, later).otherwise(F.col("_p")))
-    long = rows.select(table_id, "row_key", "row_pos", F.explode("_p").alias("_p")).select(
+        # places are those of a header name's first use; within a line the last cell of a name stands
+        own = lambda p: (F.array_position("_h", p["name"]) > F.col("start")) & (F.array_position("_h", p["name"]) <= F.col("stop"))
+        settled = bind(cells, lambda all_: F.filter(all_, lambda p: own(p) & ~F.exists(all_, lambda q: (q["name"] == p["name"]) & (q["at"] > p["at"]))))
+        plain = (F.size(F.array_distinct("_h")) == F.size("_h")) & (F.col("start") == 0) & (F.col("stop") == F.col("n"))
+        cells = F.when(plain, cells).otherwise(settled)
+    return rows.select(table_id, F.col("name").alias("row_key"), F.col("at").alias("row_pos"), F.explode(cells).alias("_p")).select(
         table_id, "row_key", F.col("_p.name").alias("column"), F.col("_p.value").alias("value"), "row_pos", F.col("_p.at").alias("col_pos")
     )
-    if not keep_last:
-        return long
-    # one place a name is left with, so the last row of a key is found by numbers alone
-    last = long.groupBy(table_id, "row_key", "column").agg(F.max("row_pos").alias("row_pos"))
-    return long.join(last, [table_id, "row_key", "column", "row_pos"], "left_semi")
 
 
 def year_cells(long: DataFrame, table_id: str = "table_id") -> DataFrame:

@@ -267,3 +267,41 @@ def test_sample_sizes_and_repeated_keys(spark):
         got = sample_n(df.repartition(6), n, "id")
         assert Counter(r["id"] for r in got.collect()) == Counter(order[:n])
         assert "Window" not in plan_of(got)
+
+
+def python_table(text):
+    """Cells by row and column name, the later one standing."""
+    lines = text.strip(" \t\n\x0b\f\r").split("\n")
+    cells = lambda line: [c.strip(" \t\n\x0b\f\r") for c in line.strip("|").split("|")]
+    names, found = [h.replace(" ", "_") for h in cells(lines[0])], {}
+    for at, line in enumerate(lines[2:]):
+        if line:
+            row = cells(line)
+            for k, value in enumerate(row[: len(names)]):
+                found[row[0], names[k]] = (value, at, k)
+    return found
+
+
+def test_last_cells_of_any_table(spark):
+    """Rows named twice, short and long lines, headers that repeat; texts of one id apart."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(300):
+        width = rng.randint(1, 5)
+        line = lambda first, n: "| " + " | ".join([first, *(rng.choice(["1", "x y", "", " 2"]) for _ in range(n - 1))]) + rng.choice([" |", "", "||"])
+        head = "| " + " | ".join(rng.choice(["a", "b", "net tax", "c", "d"]) for _ in range(width)) + " |"
+        body = [rng.choice(["", line(rng.choice(["r", "s", "t u"]), rng.randint(1, width + 2))]) if rng.random() < 0.9 else "" for _ in range(rng.randint(0, 9))]
+        texts.append("\n".join(["  " + head, "|---|", *body, " "]))
+    df = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)] + [(-1, None), (-2, "")], "table_id int, text string")
+    long = parse_markdown_table(df)
+    got = Counter((r["table_id"], r["row_key"], r["column"], r["value"], r["row_pos"], r["col_pos"]) for r in long.collect())
+    want = Counter((k // 2, *key, *cell) for k, t in enumerate(texts) for key, cell in python_table(t).items())
+    assert got == want
+    plan = plan_of(long)
+    assert plan.count("Scan ") == 1 and "Exchange" not in plan and "Join" not in plan and plan.count("Generate explode") == 2
+
+
+def test_a_long_table_is_read_once(spark):
+    text = "| Year | Tax |\n|---|---|\n" + "".join(f"| {k % 4000} | {k} |\n" for k in range(16_000))
+    got = {r["row_key"]: r["value"] for r in parse_markdown_table(spark.createDataFrame([(1, text)], "table_id int, text string")).filter("column = 'Tax'").collect()}
+    assert got == {str(k % 4000): str(k) for k in range(16_000)}

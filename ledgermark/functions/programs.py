@@ -34,10 +34,12 @@ def program_tokens(program: ColumnOrName) -> Column:
 
 def program_arg(arg: ColumnOrName) -> Column:
     """PRJ-5: ``#n`` -> ``xn``; constants lose their prefix, a leading m is a minus."""
-    named = F.replace(as_col(arg), F.lit("#"), F.lit("x"))
-    bare = F.replace(F.replace(named, F.lit("const_"), F.lit("")), F.lit("CONST_"), F.lit(""))
-    signed = F.when(F.lower(F.substr(bare, F.lit(1), F.lit(1))) == "m", F.concat(F.lit("-"), F.substr(bare, F.lit(2)))).otherwise(bare)
-    return F.when(named.contains("const") | named.contains("CONST"), signed).otherwise(named)
+    def spelled(named: Column) -> Column:
+        bare = F.replace(F.replace(named, F.lit("const_"), F.lit("")), F.lit("CONST_"), F.lit(""))
+        signed = lambda b: F.when(F.lower(F.substr(b, F.lit(1), F.lit(1))) == "m", F.concat(F.lit("-"), F.substr(b, F.lit(2)))).otherwise(b)
+        return F.when(named.contains("const") | named.contains("CONST"), bind(bare, signed)).otherwise(named)
+
+    return bind(F.replace(as_col(arg), F.lit("#"), F.lit("x")), spelled)
 
 
 def program_steps(program: ColumnOrName) -> Column:
@@ -76,8 +78,8 @@ def program_to_infix(program: ColumnOrName) -> Column:
             )
             return F.concat(target, F.lit(" = "), body)  # null for an unknown operation
 
-        lines = F.transform(steps, line)
-        return F.when(~F.exists(lines, lambda x: x.isNull()), F.array_join(lines, "; "))
+        known = lambda lines: F.when(~F.exists(lines, lambda x: x.isNull()), F.array_join(lines, "; "))
+        return bind(F.transform(steps, line), known)
 
     return bind(program_steps(program), render)
 

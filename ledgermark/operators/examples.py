@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermark.functions.cleanup import starts_with_temp
+from ledgermark.functions.common import bind
 from ledgermark.functions.programs import program_to_infix
 from ledgermark.functions.tables import gold_text, linearise_table
 
@@ -41,8 +42,7 @@ def normalise_examples(raw: DataFrame, strict_compat: bool = False) -> DataFrame
     the questions of a record that follow an unusable one.
     """
 
-    def judged(q: Column) -> Column:
-        infix = program_to_infix(q["program"])
+    def judged(q: Column, infix: Column) -> Column:
         reason = (
             F.when(q["question"].isNull(), F.lit("no question"))
             .when(q["exe_ans"].isNull(), F.lit("no answer"))
@@ -53,7 +53,7 @@ def normalise_examples(raw: DataFrame, strict_compat: bool = False) -> DataFrame
         )
         return F.struct(q.alias("q"), infix.alias("infix"), reason.alias("reason"))
 
-    rows = raw.select("id", "table", F.transform(_present_variants(raw), judged).alias("qs"))
+    rows = raw.select("id", "table", F.transform(_present_variants(raw), lambda q: bind(program_to_infix(q["program"]), lambda infix: judged(q, infix))).alias("qs"))
     if strict_compat:
         rows = rows.withColumn(
             "qs",

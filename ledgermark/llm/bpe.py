@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import re
 import sys
 from array import array
@@ -35,16 +36,22 @@ from ledgermark.llm.shared import portions, schema_with, with_columns, worker_ca
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Transitions and stretches of text a worker keeps before it starts afresh.
-KEPT_TRANSITIONS = 300_000
-KEPT_PIECES = 200_000
-KEPT_STRETCHES = 250_000
+#: What a worker keeps in each of two generations; states are kept until there are too many.
+KEPT_TRANSITIONS = 200_000
+KEPT_STATES = 400_000
+KEPT_PAIRS = 100_000
+KEPT_PIECES = 40_000
+KEPT_STRETCHES = 200_000
 #: Longer stretches are encoded each time they occur.
 LONGEST_KEPT = 64
 
 #: Bytes after which settled tokens are emitted; twice the longest token of any vocabulary used is plenty.
 LOOKAHEAD = 1024
 
+_STATE = (1 << 40) - (1 << 8)
+#: Ids decoded at once.
+RUN = 1 << 16
+
 NEVER = 1 << 62
 NONE = 1 << 30
 
@@ -54,6 +61,28 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class Kept(dict):
+    """What ``make`` gives for the keys met, in two generations.
+
+    A full generation becomes the old one; what is asked for again moves up, and
+    only what was not asked for in a whole generation is made anew.
+    """
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Transducer:
     """Bytes in, token ids out, one transition a byte.
 
@@ -85,7 +114,8 @@ class Transducer:
     def _forget(self) -> None:
         self.states: list[tuple[int, ...]] = [(NONE << 32,)]
         self.number: dict[tuple[int, ...], int] = {self.states[0]: 0}
-        self.steps: dict[int, int] = {}  # state and byte: id + 1 of the token that ends, next state
+        self.steps = Kept(self._step, KEPT_TRANSITIONS)  # state and byte: id + 1 of the token that ends, next state, eight zeros
+        self.pairs = Kept(self._fits, KEPT_PAIRS)
 
     def _merges(self, token: int) -> tuple[list, list]:
         """The token's first and its last part over time, each with the rank that ends it."""
@@ -102,8 +132,9 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [*firsts, (parts[0], NEVER)], [*lasts, (parts[-1], NEVER)]
 
-    def _fits(self, last: int, token: int) -> bool:
-        """Whether the two tokens stay apart when their joint bytes are merged."""
+    def _fits(self, pair: int) -> bool:
+        """Whether two tokens stay apart when their joint bytes are merged."""
+        last, token = pair >> 32, pair & 0xFFFFFFFF
         for t in (last, token):
             if t not in self.history and t != NONE:
                 self.history[t] = self._merges(t)
@@ -127,39 +158,40 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, state: int, byte: int) -> int:
-        living, ended, places = [], 0, self.places
-        for hypothesis in self.states[state]:
+    def _step(self, key: int) -> int:
+        living, ended, places, byte = [], 0, self.places, key & 0xFF
+        for hypothesis in self.states[key >> 8]:
             at = places.get((hypothesis & 0xFFFFFFFF) << 8 | byte)
             if at is not None:
                 living.append(hypothesis & ~0xFFFFFFFF | at)
                 # what has been read has one encoding, so one hypothesis ends a token here
                 if not ended:
                     token = self.token_at.get(at)
-                    if token is not None and self._fits(hypothesis >> 32, token):
+                    if token is not None and self.pairs[hypothesis & ~0xFFFFFFFF | token]:
                         ended = token + 1
         if ended:
             living.append((ended - 1) << 32)
-        key = tuple(living)
-        number = self.number.get(key)
+        found = tuple(living)
+        number = self.number.get(found)
         if number is None:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
-        return ended << 32 | number
+            number = self.number[found] = len(self.states)
+            self.states.append(found)
+        return ended << 40 | number << 8
 
-    def _back(self, ends: list[int], upto: int) -> list[int]:
+    def _back(self, path: list[int], upto: int) -> list[int]:
         """The ids of the first ``upto`` bytes, last first."""
-        out = []
+        out, length = [], self.length
         while upto > 0:
-            token = ends[upto - 1] - 1
+            token = (path[upto - 1] >> 40) - 1
             out.append(token)
-            upto -= self.length[token]
+            upto -= length[token]
         return out
 
-    def _agreed(self, state: int, ends: list[int]) -> tuple[list[int], int]:
+    def _agreed(self, path: list[int]) -> tuple[list[int], int]:
         """The ids on which all living hypotheses agree, and their bytes."""
-        starts = [len(ends) - self.depth[h & 0xFFFFFFFF] for h in self.states[state]]
-        chains = [self._back(ends, start)[::-1] for start in starts]
+        state = (path[-1] & _STATE) >> 8
+        starts = [len(path) - self.depth[h & 0xFFFFFFFF] for h in self.states[state]]
+        chains = [self._back(path, start)[::-1] for start in starts]
         common = []
         for ids in zip(*chains, strict=False):
             if len(set(ids)) > 1:
@@ -176,41 +208,22 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return array("i", (whole,))
-        if len(self.steps) > KEPT_TRANSITIONS:
+        if len(self.states) > KEPT_STATES:
             self._forget()
-        out, ends = array("i"), []
-        state, steps = 0, self.steps
-        for byte in data:
-            key = state << 8 | byte
-            step = steps.get(key)
-            if step is None:
-                step = steps[key] = self._step(state, byte)
-            state = step & 0xFFFFFFFF
-            ends.append(step >> 32)
-            if len(ends) >= LOOKAHEAD:
-                common, length = self._agreed(state, ends)
+        out, path, step, steps = array("i"), [], 0, self.steps
+        append = path.append
+        for start in range(0, len(data), LOOKAHEAD):
+            if start:
+                common, length = self._agreed(path)
                 out.extend(common)
-                del ends[:length]
-        out.extend(self._back(ends, len(ends))[::-1])
+                del path[:length]
+            for byte in data[start : start + LOOKAHEAD]:
+                step = steps[step & _STATE | byte]
+                append(step)
+        out.extend(self._back(path, len(path))[::-1])
         return out
 
 
-class Memo(dict):
-    """Ids, as bytes, of the strings met; cleared when full."""
-
-    def __init__(self, ids_of, most: int):
-        super().__init__()
-        self.ids_of, self.most = ids_of, most
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.ids_of(key)
-        if len(key) <= LONGEST_KEPT:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = ids
-        return ids
-
-
 class TextEncoder:
     """Ids of whole texts.
 
@@ -222,19 +235,23 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.findall = regex.compile(pattern).findall
-        self.pieces = Memo(lambda piece: self.machine.encode(piece.encode()).tobytes(), KEPT_PIECES)
-        self.stretches = Memo(self._by_pattern, KEPT_STRETCHES)
+        self.pieces = Kept(lambda piece: self.machine.encode(piece.encode()).tobytes(), KEPT_PIECES)
+        self.stretches = Kept(self._by_pattern, KEPT_STRETCHES)
         self.other_blanks = re.compile(r"\A | \Z| \s|\s |\x00").search
 
     def _by_pattern(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.findall(text)))
+        pieces = self.findall(text)
+        if len(pieces) == 1 and len(pieces[0]) == len(text):  # kept as a stretch, or too long to be kept
+            return self.machine.encode(text.encode()).tobytes()
+        return b"".join([self.pieces[p] if len(p) <= LONGEST_KEPT else self.machine.encode(p.encode()).tobytes() for p in pieces])
 
     def encode(self, text: str) -> np.ndarray:
         if self.other_blanks(text):
-            ids = self._by_pattern(text)
-        else:
-            ids = b"".join(map(self.stretches.__getitem__, text.replace(" ", "\0 ").split("\0")))
-        return np.frombuffer(ids, np.int32)
+            return np.frombuffer(self._by_pattern(text), np.int32)
+        parts = text.replace(" ", "\0 ").split("\0")
+        if len(max(parts, key=len)) <= LONGEST_KEPT:
+            return np.frombuffer(b"".join(map(self.stretches.__getitem__, parts)), np.int32)
+        return np.frombuffer(b"".join([self.stretches[p] if len(p) <= LONGEST_KEPT else self._by_pattern(p) for p in parts]), np.int32)
 
 
 class Utf8Decoder:
@@ -296,6 +313,22 @@ def stream_text(tokens: Iterable[bytes]) -> Iterator[str]:
     yield decoder.end()
 
 
+def text_of(ids: np.ndarray, tokens: np.ndarray, closed: np.ndarray) -> Iterator[str]:
+    """The text of ids in parts, by the machine.
+
+    A token that is whole characters leaves the machine at rest, so a run of
+    those passes at once; the others go through it one by one.
+    """
+    decoder, at = Utf8Decoder(), 0
+    for place in [*np.flatnonzero(~closed[ids]).tolist(), len(ids)]:
+        for start in range(at, place, RUN):
+            yield decoder.end() + b"".join(tokens[ids[start : min(start + RUN, place)]].tolist()).decode()
+        if place < len(ids):
+            yield decoder.feed(tokens[ids[place]])
+        at = place + 1
+    yield decoder.end()
+
+
 def _encoder(data: bytes, pattern: str):
     def make():
         gc.set_threshold(200_000, 50, 1000)  # the tables hold no cycles
@@ -369,8 +402,41 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decode
                     pieces = tokens[own].tolist()
                     rows.append(b"".join(pieces))
                     if text is not None:
-                        texts.append(rows[-1].decode() if closed[own].all() else "".join(stream_text(pieces)))
+                        texts.append("".join(text_of(own, tokens, closed)))
                 new = {data: pa.array(rows, pa.binary())}
                 yield with_columns(part, **new, **({text: pa.array(texts, pa.string())} if text else {}))
 
     return df.mapInArrow(run, schema_with(df, **{data: "binary"}, **({text: "string"} if text else {})))
+
+
+def digests(df: DataFrame, ranks_path: str, pattern: str, key: str, text: str = "text") -> DataFrame:
+    """``key``, number of ids, and digests of the ids and of the text they decode to, in one pass over each text.
+
+    Every text is encoded, and its ids are decoded again by the state machine;
+    neither ids nor texts leave the task.
+    """
+    with open(ranks_path, "rb") as file:
+        shipped = df.sparkSession.sparkContext.broadcast(file.read())
+
+    def row(encoder: TextEncoder, tokens: np.ndarray, closed: np.ndarray, shown: np.ndarray, text: str | None) -> tuple[int, str, str]:
+        ids = encoder.encode(text) if text else np.zeros(0, np.int32)
+        listed, decoded = hashlib.sha256(), hashlib.sha256()
+        for start in range(0, len(ids), RUN):
+            listed.update((b" " if start else b"") + b" ".join(shown[ids[start : start + RUN]].tolist()))
+        for part in text_of(ids, tokens, closed):
+            decoded.update(part.encode())
+        return len(ids), listed.hexdigest(), decoded.hexdigest()
+
+    def run(batches):
+        encoder, (tokens, closed) = _encoder(shipped.value, pattern), _tokens(shipped.value)
+        shown = worker_cache(f"bpe-shown-{len(tokens)}", lambda: np.array([str(k).encode() for k in range(len(tokens))], object))
+        for batch in batches:
+            for part in portions(batch, text):
+                rows = [row(encoder, tokens, closed, shown, t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                counts, listed, decoded = zip(*rows, strict=True)
+                names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+                arrays = [part.column(part.schema.get_field_index(key)), pa.array(counts, pa.int64()), pa.array(listed), pa.array(decoded)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgermark.llm import bpe
 from ledgermark.llm.shared import table
@@ -13,16 +12,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """Count and digests of each document's ids and of the bytes they decode to."""
-    path = ranks_path or public_tokenizers.path(RANKS)
-    encoded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, keep_text=False)
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return bpe.decode(encoded, path).select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(listed, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Count and digests of each document's ids and of the text they decode to."""
+    return bpe.digests(docs.select("doc_id", "text"), ranks_path or public_tokenizers.path(RANKS), public_tokenizers.PATTERN, "doc_id")
 
 
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ def test_random_texts(ranks, library):
 
 def test_tables_that_start_afresh(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_TRANSITIONS", 50)
+    monkeypatch.setattr(bpe, "KEPT_STATES", 60)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 5)
     monkeypatch.setattr(bpe, "KEPT_STRETCHES", 3)
     monkeypatch.setattr(bpe, "LOOKAHEAD", 300)
     encoder = bpe.TextEncoder(ranks, public_tokenizers.PATTERN)

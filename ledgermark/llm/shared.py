@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that a task holds for Python at once.
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +36,23 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     follows does not compute ``df`` again.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES) -> Iterator[None]:
+    """Jobs run inside send their rows to Python in batches of ``size``; Spark's own bound is eight times that for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; none for null. Blanks are the ASCII ones only."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
@@ -56,7 +72,7 @@ def worker_cache(name: str, make):
 
 
 def portions(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``limit`` bytes of ``column``, one row at least."""
+    """The batch in slices of about ``limit`` bytes of ``column``, one row at least; what a slice took is given back."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
@@ -64,6 +80,7 @@ def portions(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterat
     edges = np.flatnonzero(np.diff(at)) + 1
     for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,18 +4,23 @@ Word and line counts of each text give four rates: symbols, repeated lines and
 repeated words a hundred, and mean word length. Rates are counted into buckets
 whose bounds grow by two per cent. Such counts per language and source are a
 quantile sketch: sketches merge by adding, so a language's sketch is the sum of
-its sources' and nothing has to be sorted or gathered. A group's fences stand
-``REACH`` interquartile ranges (``LEAST`` wide at least) beyond its quartiles,
-learned from the texts that pass the base rules. A group with fewer than
-``MIN_DOCS`` such texts uses its language's fences, and that one all texts'.
-
-Most texts repeat no line or word, so the range of these rates is 0 and the
-tail sets their fence: the highest hundredth begins at q99, and the fence
-stands as far beyond q99 as that is from the upper quartile. Three ranges of
-``WIDEST`` are the limit, as junk in the tail would move it. A group with fewer than
-``TAIL_DOCS`` texts takes the tail's length from its language, or all texts.
-Symbols have no such tail: up to a tenth of a group may be junk by them, q99
-included, and the quartiles are not moved by that.
+its sources' and nothing has to be sorted or gathered. Only texts that pass the
+base rules are counted.
+
+A group's quantiles stand at the quartiles, the median and wherever the rest of
+the texts is halved again, down to a thousandth. Each is drawn towards the
+language's, and that one towards all texts', by as much as few texts lie beyond
+it: ``STRENGTH`` texts of the wider group count with the group's own. So there
+is no size at which a group changes its rule.
+
+Word length is held between fences ``REACH`` interquartile ranges beyond the
+quartiles. The other rates are 0 for most texts, and their tail sets the fence.
+A tail grows by some factor whenever the texts beyond it are halved. A factor
+above ``JUMP`` is no tail of one kind of text (such a tail would have no mean
+twice over): another kind begins there, and the fence stands in the middle of
+the first such jump, by ratio. A tail without a jump ends one more of its own
+steepest steps beyond its last quantile. Values below ``LEAST`` count as that, a
+rounding size: what can stand in a short text once.
 
 The fences are joined back and the rates held against them.
 
@@ -28,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermark.llm.shared import saved, words_of
+from ledgermark.llm.shared import let, saved, words_of
 
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
@@ -37,16 +42,16 @@ PLACE = (1 << PLACE_BITS) - 1
 GROWTH = 1.02
 SMALLEST = 0.01
 REACH = 3.0
-MIN_DOCS = 50
+JUMP = 4.0
+#: Texts of the wider group that count with those beyond a quantile.
+STRENGTH = 8.0
 
-#: Rate: the least range used, of rounding size: one symbol, repeated word or line of fifty, five characters in fifty words.
-LEAST = {"symbols": 2.0, "word_length": 0.1, "dup_lines": 2.0, "repeats": 2.0}
+#: Rate: its rounding size, the least there can be in the shortest text that passes, 50 words in lines of ten: one
+#: symbol, five characters, one repeated line, one window of three words found twice.
+LEAST = {"symbols": 2.0, "word_length": 0.1, "dup_lines": 20.0, "repeats": 12.0}
 
-#: Rates held against their tail, and the interquartile range that bounds it.
-WIDEST = {"dup_lines": 15.0, "repeats": 12.0}
-TAIL = 0.99
-#: As many texts lie beyond the tail's quantile as beyond the quartile of ``MIN_DOCS``.
-TAIL_DOCS = 1_250
+#: Quantiles: the lower quartile, then the upper half, halved until a thousandth is left.
+QUANTILES = [0.25, *[1 - 2.0**-k for k in range(1, 11)]]
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -134,59 +139,68 @@ def sketches(counted: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "rate", bucket_of(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """``by, docs, fence`` (a map of rate to its ``LIMITS``): sketches merged by ``by``.
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """``by, rate, docs, q``: the quantiles of sketches merged by ``by``.
 
     A group and rate has no more buckets than the range of doubles gives (2,000).
     """
     merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rate")
     merged = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    quantile = lambda q: value_of(F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), F.col("bucket"))))
-    each = merged.groupBy(*by, "rate").agg(
-        F.max("docs").alias("docs"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), quantile(TAIL).alias("end")
-    )
-    of = lambda values: F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.lit(v))])[F.col("rate")]
-    span = REACH * (F.col("q3") - F.col("q1"))
-    low = F.col("q1") - F.greatest(span, REACH * of(LEAST | WIDEST))
-    tail = F.when((F.col("docs") >= TAIL_DOCS) & F.col("rate").isin(*WIDEST), F.greatest(2 * (F.col("end") - F.col("q3")), of(LEAST)))
-    each = each.select(*by, "rate", "docs", "q3", low.alias("low"), span.alias("span"), tail.alias("tail"))
-    each = each.withColumn("high", upper(F.col("q3"), F.col("span"), F.col("tail"), REACH * of(LEAST | WIDEST)))
-    fields = [F.max(F.when(F.col("rate") == n, F.struct(*LIMITS))).alias(n) for n in LEAST]
-    return each.groupBy(*by).agg(F.max("docs").alias("docs"), *fields).select(*by, "docs", F.struct(*LEAST).alias("fence"))
+    at = lambda q: value_of(F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), F.col("bucket"))))
+    return merged.groupBy(*by, "rate").agg(F.max("docs").alias("docs"), F.array(*map(at, QUANTILES)).alias("q"))
 
 
-#: Both ends, and what the upper one is made of: quartile, ``REACH`` ranges, length of the tail (null if too few texts tell it).
-LIMITS = ["low", "high", "q3", "span", "tail"]
+def _of(values: dict[str, float]) -> Column:
+    return F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.lit(v))])[F.col("rate")]
 
 
-def upper(q3: Column, span: Column, tail: Column, widest: Column) -> Column:
-    """The upper fence; without a tail it is ``widest``, or the group's own span, beyond the quartile."""
-    return q3 + F.greatest(span, F.least(tail, widest))
+def drawn(own: Column, docs: Column, prior: Column) -> Column:
+    """Quantiles drawn towards ``prior``, by ratio; what is missing is the other."""
+    beyond = F.array(*[F.lit(min(q, 1 - q)) for q in QUANTILES])
+    least = _of(LEAST)
+
+    def one(q: Column, i: Column) -> Column:
+        weight = docs * F.get(beyond, i) / (docs * F.get(beyond, i) + STRENGTH)
+        return F.exp(weight * F.log(F.greatest(q, least)) + (1 - weight) * F.log(F.greatest(F.get(prior, i), least)))
+
+    return F.when(own.isNull(), prior).when(prior.isNull(), own).otherwise(F.transform(own, one))
+
+
+def upper(q: Column) -> Column:
+    """The upper fence of a rate by its tail, from the median on."""
+    floor = F.transform(F.slice(q, 2, len(QUANTILES) - 1), lambda x: F.greatest(x, _of(LEAST)))
+
+    def fence(tail: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.size(tail) - 2), lambda i: F.struct(F.get(tail, i).alias("a"), F.get(tail, i + 1).alias("b")))
+        jumps = F.filter(steps, lambda s: s["b"] > JUMP * s["a"])
+        steepest = F.array_max(F.transform(steps, lambda s: s["b"] / s["a"]))
+        first = F.get(jumps, F.lit(0))
+        return F.when(F.size(jumps) > 0, F.sqrt(first["a"] * first["b"])).otherwise(F.element_at(tail, -1) * steepest)
+
+    return let(floor, fence)
+
+
+def with_fences(found: DataFrame) -> DataFrame:
+    """Add ``low`` and ``high`` to quantiles (``rate, q``)."""
+    span = REACH * F.greatest(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), _of(LEAST))
+    two_sided = F.col("rate") == "word_length"
+    low = F.when(two_sided, F.get("q", F.lit(0)) - span).otherwise(-1.0)
+    return found.withColumn("low", low).withColumn("high", F.when(two_sided, F.get("q", F.lit(2)) + span).otherwise(upper(F.col("q"))))
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """``lang, source, fence`` for each group: its own, its language's or all texts'."""
+    """``lang, source, fence`` (a struct of each rate's ``low`` and ``high``) for each group."""
     sketch = saved(sketches(counted), "quality-sketches")
-    own, language = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"])
-    whole = fences(sketch.withColumn("all", F.lit(0)), ["all"]).select("fence").first()  # one row of twenty numbers
-    groups = counted.select(_name("lang").alias("lang"), _name("source").alias("source")).distinct()
-    level = lambda df, name, keys: df.select(*keys, F.struct("docs", "fence").alias(name))
-    found = groups.join(level(own, "_own", ["lang", "source"]), ["lang", "source"], "left").join(level(language, "_lang", ["lang"]), "lang", "left")
-    enough = lambda name: F.when(F.col(f"{name}.docs") >= MIN_DOCS, F.col(f"{name}.fence"))
-    limits, tails = [enough("_own"), enough("_lang")], [F.col("_own.fence"), F.col("_lang.fence")]
-    if whole:
-        ends = {n: F.struct(*[F.lit(whole["fence"][n][x]).cast("double").alias(x) for x in LIMITS]) for n in LEAST}
-        limits.append(F.struct(*[end.alias(n) for n, end in ends.items()]))
-        tails.append(limits[-1])
-    found = found.select("lang", "source", F.coalesce(*limits).alias("_fence"), *[F.coalesce(*[t[n]["tail"] for t in tails]).alias(f"_{n}") for n in WIDEST])
-
-    def ends_of(name):
-        f = F.col(f"_fence.{name}")
-        high = upper(f["q3"], f["span"], F.col(f"_{name}"), F.lit(REACH * WIDEST[name])) if name in WIDEST else f["high"]
-        return F.struct(f["low"].alias("low"), high.alias("high")).alias(name)
-
-    return found.select("lang", "source", F.when(F.col("_fence").isNotNull(), F.struct(*map(ends_of, LEAST))).alias("fence"))
+    named = lambda df, name: df.withColumnsRenamed({"docs": f"{name}_docs", "q": name})
+    rates_of = F.explode(F.array(*map(F.lit, LEAST))).alias("rate")
+    groups = counted.select(_name("lang").alias("lang"), _name("source").alias("source")).distinct().select("*", rates_of)
+    found = groups.join(named(quantiles(sketch, ["lang", "source"]), "_own"), ["lang", "source", "rate"], "left")
+    found = found.join(named(quantiles(sketch, ["lang"]), "_lang"), ["lang", "rate"], "left").join(named(quantiles(sketch, []), "_all"), "rate", "left")
+    found = found.withColumn("_wide", drawn(F.col("_lang"), F.col("_lang_docs"), F.col("_all")))
+    found = with_fences(found.select("lang", "source", "rate", drawn(F.col("_own"), F.col("_own_docs"), F.col("_wide")).alias("q")))
+    ends = [F.max(F.when(F.col("rate") == n, F.struct("low", "high"))).alias(n) for n in LEAST]
+    return found.groupBy("lang", "source").agg(*ends).select("lang", "source", F.struct(*LEAST).alias("fence"))
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -196,6 +210,7 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
         inside = inside & rate.between(F.col(f"fence.{name}.low"), F.col(f"fence.{name}.high"))
     counted = counted.drop("_lang", "_source", "fence", "kept")
     keyed = counted.withColumn("_lang", _name("lang")).withColumn("_source", _name("source"))
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence")
+    # Saved, they are of known size: a few groups are broadcast, and a group with most rows is no task of its own.
+    limits = saved(limits, "quality-fences").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence")
     joined = keyed.join(limits, ["_lang", "_source"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_lang", "_source", "fence")

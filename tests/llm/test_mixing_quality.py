@@ -1,3 +1,5 @@
+import math
+import random
 from collections import Counter
 
 import pytest
@@ -78,17 +80,87 @@ def test_counts_against_brute_force(spark):
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
-def test_sketch_quartiles_and_merging(spark):
-    rows = [(i, " ".join(["w" * (3 + i % 7)] * 0 + [f"{'w' * (3 + i % 7)}{j}" for j in range(60)]), "en", "ab"[i % 2], 1) for i in range(400)]
-    counted = quality.with_counts(frame(spark, rows))
-    sketch = quality.sketches(counted)
-    low, high = quality.fences(sketch, ["lang"]).select("fence.word_length.low", "fence.word_length.high").first()
-    values = sorted(r["word_chars"] / r["n_words"] for r in counted.collect())
-    q1, q3 = values[len(values) // 4 - 1], values[3 * len(values) // 4 - 1]
-    spread = quality.REACH * max(q3 - q1, quality.LEAST["word_length"])
-    assert abs(low - (q1 - spread)) < 0.1 * spread and abs(high - (q3 + spread)) < 0.1 * spread
-    merged = quality.fences(sketch, ["lang"]).first()["docs"]
-    assert merged == sum(r["docs"] for r in quality.fences(sketch, ["lang", "source"]).collect())
+def bucket(rate):
+    return 0 if rate <= quality.SMALLEST else math.ceil(math.log(rate / quality.SMALLEST) / math.log(quality.GROWTH))
+
+
+def plain_fences(rows):
+    """Group -> rate -> (low, high), from sorted buckets, as the operator's text says."""
+    least, levels = quality.LEAST, quality.QUANTILES
+
+    def rates(r):
+        per = lambda part, whole, by: by * part / whole if whole else 0.0
+        return {"symbols": per(r["n_symbols"], r["n_words"], 100.0), "word_length": per(r["word_chars"], r["n_words"], 1.0), "dup_lines": per(r["n_dup_lines"], r["n_lines"], 100.0), "repeats": per(r["n_repeat_words"], r["n_words"], 100.0)}
+
+    def quantiles(own, rate):
+        found = sorted(bucket(rates(r)[rate]) for r in own)
+        at = [found[max(math.ceil(len(found) * q), 1) - 1] for q in levels] if found else None
+        return len(found), at and [0.0 if b == 0 else quality.SMALLEST * quality.GROWTH ** (b - 0.5) for b in at]
+
+    def drawn(own, wider, rate):
+        (n, q), floor = own, least[rate]
+        if q is None or wider is None:
+            return wider if q is None else q
+        out = []
+        for level, a, b in zip(levels, q, wider, strict=True):
+            beyond = n * min(level, 1 - level)
+            w = beyond / (beyond + quality.STRENGTH)
+            out.append(math.exp(w * math.log(max(a, floor)) + (1 - w) * math.log(max(b, floor))))
+        return out
+
+    good = [r for r in rows if not r["base_failed"]]
+    fences = {}
+    for group in {(r["lang"], r["source"]) for r in rows}:
+        fences[group] = {}
+        for rate, floor in least.items():
+            whole = quantiles(good, rate)[1]
+            wide = drawn(quantiles([r for r in good if r["lang"] == group[0]], rate), whole, rate)
+            q = drawn(quantiles([r for r in good if (r["lang"], r["source"]) == group], rate), wide, rate)
+            if q is None:
+                fences[group][rate] = None
+            elif rate == "word_length":
+                span = quality.REACH * max(q[2] - q[0], floor)
+                fences[group][rate] = (q[0] - span, q[2] + span)
+            else:
+                tail = [max(x, floor) for x in q[1:]]
+                steps = list(zip(tail, tail[1:]))
+                jump = next(((a, b) for a, b in steps if b > quality.JUMP * a), None)
+                fences[group][rate] = (-1.0, math.sqrt(jump[0] * jump[1]) if jump else tail[-1] * max(b / a for a, b in steps))
+    kept = [not r["base_failed"] and all(f is None or f[0] <= v <= f[1] for f, v in zip(fences[r["lang"], r["source"]].values(), rates(r).values())) for r in rows]
+    return fences, kept
+
+
+def test_fences_and_kept_against_plain_version(spark):
+    r = random.Random(11)
+    rows = []
+    for k in range(900):
+        words = r.randint(50, 300)
+        lines = r.randint(1, 30)
+        symbols = r.choice([0, 0, 0, r.randint(0, 4), r.randint(60, 200)]) if r.random() < 0.4 else 0
+        row = (k, r.choice(["en", "en", "de", None]), r.choice(["a", "a", "a", "b", "c", None, f"rare{k}"]), words, words * 5 + r.randint(-60, 60), symbols, r.choice([0, 0, 0, r.randint(0, lines - 1)]), lines, r.choice([0, 0, r.randint(0, words // 5)]), r.random() < 0.1)
+        rows.append(row)
+    rows.append((901, "xx", "only failed", 0, 0, 0, 0, 0, 0, True))
+    names = "doc_id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_lines bigint, n_repeat_words bigint, base_failed boolean"
+    counted = spark.createDataFrame(rows, names)
+    fences, kept = plain_fences([dict(zip([n.split()[0] for n in names.split(", ")], row, strict=True)) for row in rows])
+    name = lambda v: "n" if v is None else "v" + v
+    got = {(g["lang"], g["source"]): g["fence"] for g in quality.thresholds(counted).collect()}
+    assert set(got) == {(name(a), name(b)) for a, b in fences}
+    for (lang, source), own in fences.items():
+        for rate, ends in own.items():
+            assert tuple(got[name(lang), name(source)][rate]) == pytest.approx(ends), (lang, source, rate)
+    judged = {j["doc_id"]: j["kept"] for j in quality.judged(counted, quality.thresholds(counted)).collect()}
+    assert judged == {row[0]: k for row, k in zip(rows, kept, strict=True)} and 500 < sum(kept) < 800
+
+
+def test_sketches_merge_by_adding(spark):
+    rows = [(i, " ".join(f"{'w' * (3 + i % 7)}{j}" for j in range(60)), "en", "ab"[i % 2], 1) for i in range(400)]
+    sketch = quality.sketches(quality.with_counts(frame(spark, rows)))
+    merged = {r["rate"]: r["docs"] for r in quality.quantiles(sketch, ["lang"]).collect()}
+    parts = Counter()
+    for r in quality.quantiles(sketch, ["lang", "source"]).collect():
+        parts[r["rate"]] += r["docs"]
+    assert merged == dict(parts)
 
 
 def test_junk_goes_and_clean_stays(spark):
@@ -121,18 +193,19 @@ def counted_rows(spark, sources):
 
 
 def test_each_fence_follows_its_own_group(spark):
-    counted, names = counted_rows(spark, {"calm": (1, 40, 4), "lively": (12, 160, 14)})
+    counted, names = counted_rows(spark, {"calm": (1, 40, 14), "lively": (12, 160, 40)})
     limits = {r["source"]: r["fence"] for r in quality.thresholds(counted).collect()}
     for rate in quality.LEAST:
         assert limits["vlively"][rate]["high"] > 1.2 * limits["vcalm"][rate]["high"] > 0, rate
     # one rate of each text is beyond its calm group's fence and within its neighbour's
-    probes = [(500, 10, 0, 0), (620, 0, 0, 0), (500, 0, 20, 0), (500, 0, 0, 20)]
+    probes = [(500, 15, 0, 0), (640, 0, 0, 0), (500, 0, 55, 0), (500, 0, 0, 60)]
     tried = [(i, "en", s, 100, chars, symbols, lines, 100, words, False) for s in ("calm", "lively") for i, (chars, symbols, lines, words) in enumerate(probes)]
     got = quality.judged(spark.createDataFrame(tried, names), quality.thresholds(counted)).collect()
     assert {(r["source"], r["kept"]) for r in got} == {("calm", False), ("lively", True)}
 
 
-def test_junk_in_the_tail_does_not_move_the_fence_beyond_its_limit(spark):
+def test_another_kind_of_text_is_cut_off_at_the_jump(spark):
+    """One text in fifty has a high rate and none a middling one: the fence stands between, however high the junk is."""
     counted, _ = counted_rows(spark, {"spoilt": (1, 40, 90)})
     fence = quality.thresholds(counted).first()["fence"]
-    assert fence["dup_lines"]["high"] == quality.REACH * 15 and fence["repeats"]["high"] == quality.REACH * 12
+    assert 20 < fence["dup_lines"]["high"] < 90 and 12 < fence["repeats"]["high"] < 90

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgermark.llm import mixing, quality
 from ledgermark.llm.mixing_query import ORACLES, op7_systematic_mixture
 from ledgermark.llm.quality_query import op3_adaptive_quality
+from ledgermark.llm.shared import saved
 from tests.llm.samples import SCHEMA, WORDS, awkward, clashing, frame, prose
 from tests.oracle import compare, connect
 
@@ -155,7 +156,7 @@ def test_fences_and_kept_against_plain_version(spark):
 
 def test_sketches_merge_by_adding(spark):
     rows = [(i, " ".join(f"{'w' * (3 + i % 7)}{j}" for j in range(60)), "en", "ab"[i % 2], 1) for i in range(400)]
-    sketch = quality.sketches(quality.with_counts(frame(spark, rows)))
+    sketch = quality.sketches(saved(quality.with_counts(frame(spark, rows)), "counts"))
     merged = {r["rate"]: r["docs"] for r in quality.quantiles(sketch, ["lang"]).collect()}
     parts = Counter()
     for r in quality.quantiles(sketch, ["lang", "source"]).collect():
@@ -167,7 +168,7 @@ def test_junk_goes_and_clean_stays(spark):
     clean = [(i, prose(i, 60 + i % 40), "en" if i % 2 else None, "ab"[i % 2], 1) for i in range(200)]
     junk = [(500 + i, " ".join(w + "%%%" for w in prose(i, 70).split()), "en", "b", 1) for i in range(12)]
     small = [(600, prose(9, 70), "xx", "rare", 1), (601, " ".join(w + "###" for w in prose(8, 70).split()), "yy", "rare2", 1)]
-    counted = quality.with_counts(frame(spark, clean + junk + small))
+    counted = saved(quality.with_counts(frame(spark, clean + junk + small)), "counts")
     kept = {r["doc_id"] for r in quality.judged(counted, quality.thresholds(counted)).filter("kept").collect()}
     assert kept == {r[0] for r in clean} | {600}
 

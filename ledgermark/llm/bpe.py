@@ -37,11 +37,11 @@ from ledgermark.llm.shared import portions, schema_with, with_columns, worker_ca
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: What a worker keeps in each of two generations; states are kept until there are too many.
-KEPT_TRANSITIONS = 200_000
-KEPT_STATES = 400_000
-KEPT_PAIRS = 100_000
-KEPT_PIECES = 40_000
-KEPT_STRETCHES = 200_000
+KEPT_TRANSITIONS = 500_000
+KEPT_STATES = 800_000
+KEPT_PAIRS = 200_000
+KEPT_PIECES = 100_000
+KEPT_STRETCHES = 400_000
 #: Longer stretches are encoded each time they occur.
 LONGEST_KEPT = 64
 
@@ -73,12 +73,12 @@ class Kept(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
+        value = self.old.get(key) if self.old else None
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
         self[key] = value
         return value
 

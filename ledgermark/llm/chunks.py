@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermark.llm.shared import portions, saved, schema_with, text_bytes, with_columns
+from ledgermark.llm.shared import forget_cached, portions, saved, schema_with, text_bytes, with_columns
 from ledgermark.llm.shingles import byte_codes, is_blank, stretch_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -109,6 +109,7 @@ def chunk_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """``id, digest``: each text's distinct chunks. A null id is the smallest one."""
 
     def run(batches):
+        forget_cached()
         for batch in batches:
             for part in portions(batch, "text"):
                 data, offsets = text_bytes(part.column(1))

@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermark.llm.shared import portions, saved, schema_with, text_bytes, with_columns
+from ledgermark.llm.shared import forget_cached, portions, saved, schema_with, text_bytes, with_columns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -85,6 +85,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     drawn = training_rows(labelled, text, label, key, sample)
 
     def run(batches):
+        forget_cached()
         for batch in batches:
             for part in portions(batch, "text"):
                 labels = np.array(part.column(0).to_pylist(), object)
@@ -111,6 +112,7 @@ def text_scores(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFra
     shipped = rows.sparkSession.sparkContext.broadcast(table)  # 65,536 cells by language
 
     def run(batches):
+        forget_cached()
         for batch in batches:
             for part in portions(batch, "text", 1 << 19):
                 data, offsets = text_bytes(part.column(part.schema.get_field_index("text")))

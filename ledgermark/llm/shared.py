@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -71,6 +72,12 @@ def worker_cache(name: str, make):
     return held.__dict__[name]
 
 
+def forget_cached() -> None:
+    """Give back what other operators keep in this worker."""
+    if sys.modules.pop("_ledgermark_worker_cache", None):
+        gc.collect()
+
+
 def portions(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes of ``column``, one row at least; what a slice took is given back."""
     if not batch.num_rows:

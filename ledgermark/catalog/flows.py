@@ -13,6 +13,7 @@ from ledgermark.operators.joins import join_completions
 from ledgermark.plans.annotate import definition_step
 from ledgermark.plans.evaluate import check_predictions, evaluate_predictions, predict_from_outputs
 from ledgermark.session import shared_dir
+from ledgermark.sources.json_arrays import read_large_json_array
 from ledgermark.sources.readers import load_completions, read_json_array, resume_from
 
 
@@ -168,6 +169,22 @@ def scanned_json_arrays(spark, sf_dir):
     return read_json_array(spark, folder, "id string, text string, c_nationkey int").select("id", "text", "c_nationkey")
 
 
+@query("""
+    SELECT c_custkey, concat('{"', c_name, '}\\"[', c_custkey, ']') AS note,
+           row_number() OVER (PARTITION BY c_custkey // 10000 ORDER BY c_custkey) - 1 AS pos
+    FROM customer
+""")
+def json_array_blocks(spark, sf_dir):
+    """SRC-1: customers in arrays of ten thousand keys, with braces and quotes in their notes, each file read by blocks."""
+    key = F.col("c_custkey")
+    note = text_of('{"', F.col("c_name"), '}\\"[', key, "]")
+    rows = table(spark, sf_dir, "customer").select(F.floor(key / 10_000).alias("part"), F.struct("c_custkey", note.alias("note")).alias("r"))
+    folder = shared_dir(spark, "large-arrays")
+    arrays = rows.groupBy("part").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("value"))  # ten thousand keys at most
+    arrays.write.partitionBy("part").text(folder)
+    return read_large_json_array(spark, folder, "c_custkey bigint, note string", place=True).select("c_custkey", "note", "pos")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= (SELECT count(*) // 3 FROM orders)")
 def resume_rows(spark, sf_dir):
     """SRC-4: the rows from a third of the way on."""

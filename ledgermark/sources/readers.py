@@ -13,8 +13,8 @@ from ledgermark.schemas import COMPLETION_CHOICES
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-1: files that each hold one JSON array of objects.
 
-    Such a file cannot be split, so parallelism is the number of files; write
-    large corpora as JSON lines.
+    Such a file is read by one task, so parallelism is the number of files;
+    ``json_arrays.read_large_json_array`` reads large ones by blocks.
     """
     return spark.read.schema(schema).option("multiLine", True).json(path)
 

@@ -19,7 +19,8 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,54 +40,62 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def _opened(marks: Column) -> Column:
+    """Braces that open outside strings, of a text that starts outside one and holds nothing but quotes and such braces."""
+    return F.when(F.contains(marks, F.lit("{")), _count(F.regexp_replace(marks, r'"[^"]*("|\z)', ""), "{")).otherwise(0)
+
+
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
     """Every stretch up to a ``}`` with its place, whether it turns inside to outside, and by how much it deepens in either case."""
     lines = spark.read.option("lineSep", "}").text(path).select(
-        "value",
+        F.concat("value", F.lit("}")).alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line"),
     )
     # an escape never spans a fragment: its second character is never a closing brace
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
-    strings = r'"[^"]*("|\z)'
-    turns = _count(F.col("_bare"), '"') % 2
+    marks = lines.withColumn("_marks", F.regexp_replace("value", r'(?s)\\.|[^"{\\]+', ""))
+    turns = marks.withColumn("turns", _count(F.col("_marks"), '"') % 2)
     return (
-        lines.withColumn("_bare", bare)
-        .withColumn("turns", turns)
-        .withColumn("_out", F.regexp_replace("_bare", strings, ""))
-        .withColumn("_in", F.regexp_replace(F.regexp_replace("_bare", r'\A[^"]*("|\z)', ""), strings, ""))
-        .withColumn("outside", _count(F.col("_out"), "{") - F.when(F.col("turns") == 0, 1).otherwise(0))
-        .withColumn("inside", _count(F.col("_in"), "{") - F.when(F.col("turns") == 1, 1).otherwise(0))
-        .drop("_bare", "_out", "_in")
+        turns.withColumn("outside", _opened(F.col("_marks")) - F.when(F.col("turns") == 0, 1).otherwise(0))
+        .withColumn("inside", _opened(F.concat(F.lit('"'), "_marks")) - F.when(F.col("turns") == 1, 1).otherwise(0))
+        .drop("_marks")
     )
 
 
-def _runs(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The stretches of a frame that come from one block."""
-    if frame.empty:
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The stretches of a batch that come from one block, with its place."""
+    if not batch.num_rows:
         return
-    new = (frame["block_start"] != frame["block_start"].shift()) | (frame["file_path"] != frame["file_path"].shift())
-    borders = [*np.flatnonzero(new.to_numpy()), len(frame)]
-    for start, end in pairwise(borders):
-        yield frame.iloc[start:end]
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[0] = True
+    for name in _BLOCK:
+        column = batch.column(name)
+        new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    for start, end in pairwise([*np.flatnonzero(new).tolist(), batch.num_rows]):
+        run = batch.slice(start, end - start)
+        yield (run.column("file_path")[0].as_py(), run.column("block_start")[0].as_py()), run
+
+
+def _numbers(run: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [run.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in names]
 
 
 class _Scan:
     """What a block does to quotes and depth, for both cases; its last fragment is told apart, as that may be the array's own end."""
 
-    def __init__(self, run: pd.DataFrame):
-        self.place = (run["file_path"].iloc[0], int(run["block_start"].iloc[0]))
-        self.lo = self.hi = int(run["line"].iloc[0])
+    def __init__(self, place: tuple[str, int], lo: int):
+        self.place = place
+        self.lo = self.hi = lo
         self.quotes = 0
         # depth, least depth before the last fragment, how often that is met, and where first and last
         self.cases = {case: [0, _NONE, 0, -1, -1] for case in _CASES}
         self.empty = True
 
-    def add(self, run: pd.DataFrame) -> None:
-        line, turns = run["line"].to_numpy(), run["turns"].to_numpy()
+    def add(self, run: pa.RecordBatch) -> None:
+        line, turns, outside, inside = _numbers(run, "line", "turns", "outside", "inside")
         before = (np.cumsum(turns) - turns + self.quotes) % 2
-        steps = {"outside": np.where(before == 0, run["outside"], run["inside"]), "inside": np.where(before == 0, run["inside"], run["outside"])}
+        steps = {"outside": np.where(before == 0, outside, inside), "inside": np.where(before == 0, inside, outside)}
         for case, (depth, *found) in self.cases.items():
             depths = depth + np.cumsum(steps[case])
             # the fragment that was last so far is not any more
@@ -104,21 +113,22 @@ class _Scan:
         return [*self.place, self.lo, self.hi, self.quotes, *self.cases["outside"], *self.cases["inside"]]
 
 
-def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [part.split()[0] for part in _SUMMARY.split(", ")]
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [part.split()[0] for part in _SUMMARY.split(", ")]
+    types = pa.schema([(name, pa.string() if name == "file_path" else pa.int64()) for name in names])
     scan = None
-    for frame in frames:
+    for batch in batches:
         done = []
-        for run in _runs(frame):
-            if scan is None or scan.place != (run["file_path"].iloc[0], int(run["block_start"].iloc[0])):
+        for place, run in _runs(batch):
+            if scan is None or scan.place != place:
                 if scan is not None:
                     done.append(scan.row())
-                scan = _Scan(run)
+                scan = _Scan(place, run.column("line")[0].as_py())
             scan.add(run)
         if done:
-            yield pd.DataFrame(done, columns=columns)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in done], types)
     if scan is not None:
-        yield pd.DataFrame([scan.row()], columns=columns)
+        yield pa.RecordBatch.from_pylist([dict(zip(names, scan.row(), strict=True))], types)
 
 
 def _starts(fragments: DataFrame) -> DataFrame:
@@ -126,7 +136,7 @@ def _starts(fragments: DataFrame) -> DataFrame:
 
     The prefix sums run over one row of numbers a block, 800,000 for a file of 100 TB in blocks of 128 MB.
     """
-    scanned = fragments.select(*_BLOCK, "line", "turns", "outside", "inside").mapInPandas(_summaries, _SUMMARY)
+    scanned = fragments.select(*_BLOCK, "line", "turns", "outside", "inside").mapInArrow(_summaries, _SUMMARY)
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
 
     def before(name: str) -> Column:
@@ -148,26 +158,35 @@ def _starts(fragments: DataFrame) -> DataFrame:
     return settled.withColumn("done", before("ends"))
 
 
-def _whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Objects of the lines between two ends of one block; what is open at a frame's end waits for the next."""
-    place, open_, quotes, depth, pos = None, [], 0, 0, 0
-    for frame in frames:
-        out: list[tuple] = []
-        for run in _runs(frame):
-            here = (run["file_path"].iloc[0], int(run["block_start"].iloc[0]))
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Objects of the lines between two ends of one block; what is open at a batch's end waits for the next.
+
+    An object's fragments lie side by side in the batch, so that its text is a stretch of the column's bytes.
+    """
+    types = pa.schema([("file_path", pa.string()), ("pos", pa.int64()), ("value", pa.string())])
+    place, open_, quotes, depth, pos = None, b"", 0, 0, 0
+    for batch in batches:
+        for here, run in _runs(batch):
             if here != place:
-                place, open_, quotes, depth, pos = here, [], 0, 0, int(run["done"].iloc[0]) + 1
-            turns, values = run["turns"].to_numpy(), run["value"].tolist()
+                place, open_, quotes, depth, pos = here, b"", 0, 0, run.column("done")[0].as_py() + 1
+            turns, outside, inside = _numbers(run, "turns", "outside", "inside")
             before = (np.cumsum(turns) - turns + quotes) % 2
-            depths = depth + np.cumsum(np.where(before == 0, run["outside"], run["inside"]))
-            start = 0
-            for end in np.flatnonzero(depths == 0) + 1:
-                out.append((here[0], pos, "}".join([*open_, *values[start:end]]) + "}"))
-                open_, start, pos = [], end, pos + 1
-            open_ += values[start:]
+            depths = depth + np.cumsum(np.where(before == 0, outside, inside))
             quotes, depth = int((quotes + turns.sum()) % 2), int(depths[-1])
-        if out:
-            yield pd.DataFrame(out, columns=["file_path", "pos", "value"])
+            text = run.column("value").cast(pa.string())
+            offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+            data = text.buffers()[2]
+            ends = offsets[1:][depths == 0]
+            if not len(ends):
+                open_ += data[offsets[0] : offsets[-1]].to_pybytes()
+                continue
+            objects = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.concatenate([offsets[:1], ends])), data])
+            if open_:
+                first = pa.array([(open_ + data[offsets[0] : ends[0]].to_pybytes()).decode()])
+                objects = pa.concat_arrays([first, objects[1:]])
+            places = pa.array(np.arange(pos, pos + len(ends)))
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(here[0]), len(ends)), places, objects], schema=types)
+            open_, pos = data[ends[-1] : offsets[-1]].to_pybytes(), pos + len(ends)
 
 
 def read_large_json_array(spark: SparkSession, path: str, schema: str | T.StructType, place: bool = False, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
@@ -193,12 +212,12 @@ def read_large_json_array(spark: SparkSession, path: str, schema: str | T.Struct
     placed = placed.withColumn("line", F.when(fits, F.col("line")).otherwise(F.raise_error(F.lit("blocks differ from those scanned")).cast("bigint")))
     between = F.coalesce((F.col("line") > F.col("first")) & (F.col("line") <= F.col("last")), F.lit(False))
     found = "file_path string, pos bigint, value string"
-    whole = placed.filter(between).select(*_BLOCK, "value", "turns", "outside", "inside", "done").mapInPandas(_whole, found)
+    whole = placed.filter(between).select(*_BLOCK, "value", "turns", "outside", "inside", "done").mapInArrow(_whole, found)
     after = F.coalesce(F.col("line") > F.col("last"), F.lit(False))
     pieces = placed.filter(~between).select(
         "file_path", (F.col("done") + F.when(after, F.col("ends")).otherwise(0)).alias("pos"), F.struct("block_start", "line", "value").alias("p")
     )
-    in_order = F.concat(F.array_join(F.array_sort(F.collect_list("p"))["value"], "}"), F.lit("}"))
+    in_order = F.array_join(F.array_sort(F.collect_list("p"))["value"], "")
     crossing = pieces.groupBy("file_path", "pos").agg(in_order.alias("value"))
     objects = whole.unionByName(crossing).withColumn("value", F.regexp_replace("value", r"\A[^{]*", "")).filter("value != ''")
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

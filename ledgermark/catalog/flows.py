@@ -15,6 +15,7 @@ from ledgermark.plans.evaluate import check_predictions, evaluate_predictions, p
 from ledgermark.session import shared_dir
 from ledgermark.sources.json_arrays import read_large_json_array
 from ledgermark.sources.readers import load_completions, read_json_array, resume_from
+from ledgermark.sources.runs import read_errors, read_run, write_scored_run
 
 
 def _gold_and_predictions(spark, sf_dir):
@@ -251,3 +252,18 @@ def evaluated_outputs(spark, sf_dir):
     examples = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2 + 1).cast("double").alias("answer"))
     done = check_predictions(examples, predict_from_outputs(outputs))
     return done.select(F.col("id").alias("c_custkey"), F.col("executed.num").cast("bigint").cast("string").alias("executed"), "is_correct")
+
+
+@query("""
+    SELECT o_orderpriority, count(*) AS n_wrong,
+           (SELECT count(*) FROM orders t WHERE t.o_orderpriority = o.o_orderpriority) AS n_all
+    FROM orders o WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 GROUP BY o_orderpriority
+""")
+def committed_run(spark, sf_dir):
+    """SNK-2, SNK-3: orders with right, wrong and missing verdicts and a report, written as one commit; errors beside the report."""
+    key = F.col("o_orderkey")
+    scored = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.when(key % 5 != 0, key % 3 != 0).alias("is_correct"))
+    folder = shared_dir(spark, "runs")
+    write_scored_run(scored, folder, {"report": scored.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_all"))})
+    wrong = read_errors(spark, folder).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_wrong"))
+    return wrong.join(read_run(spark, folder, "report"), "o_orderpriority")

@@ -32,7 +32,7 @@ import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from ledgermark.llm.shared import portions, schema_with, with_columns, worker_cache
+from ledgermark.llm.shared import give_back, portions, schema_with, tidied, with_columns, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,6 +44,8 @@ KEPT_PIECES = 100_000
 KEPT_STRETCHES = 400_000
 #: Longer stretches are encoded each time they occur.
 LONGEST_KEPT = 64
+#: What a worker keeps is a quarter of it where other operators' workers and a full heap share the executor.
+SHARED = 4
 
 #: Bytes after which settled tokens are emitted; twice the longest token of any vocabulary used is plenty.
 LOOKAHEAD = 1024
@@ -92,8 +94,8 @@ class Transducer:
     followed back.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: int = 1):
+        self.ranks, self.share = ranks, share
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.history: dict[int, tuple[list, list]] = {}
@@ -114,8 +116,8 @@ class Transducer:
     def _forget(self) -> None:
         self.states: list[tuple[int, ...]] = [(NONE << 32,)]
         self.number: dict[tuple[int, ...], int] = {self.states[0]: 0}
-        self.steps = Kept(self._step, KEPT_TRANSITIONS)  # state and byte: id + 1 of the token that ends, next state, eight zeros
-        self.pairs = Kept(self._fits, KEPT_PAIRS)
+        self.steps = Kept(self._step, KEPT_TRANSITIONS // self.share)  # state and byte: id + 1 of the token that ends, next state, eight zeros
+        self.pairs = Kept(self._fits, KEPT_PAIRS // self.share)
 
     def _merges(self, token: int) -> tuple[list, list]:
         """The token's first and its last part over time, each with the rank that ends it."""
@@ -208,7 +210,7 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return array("i", (whole,))
-        if len(self.states) > KEPT_STATES:
+        if len(self.states) > KEPT_STATES // self.share:
             self._forget()
         out, path, step, steps = array("i"), [], 0, self.steps
         append = path.append
@@ -232,11 +234,11 @@ class TextEncoder:
     is cut there, and the pattern is applied to each stretch it has not met.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: int = 1):
+        self.machine = Transducer(ranks, share)
         self.findall = regex.compile(pattern).findall
-        self.pieces = Kept(lambda piece: self.machine.encode(piece.encode()).tobytes(), KEPT_PIECES)
-        self.stretches = Kept(self._by_pattern, KEPT_STRETCHES)
+        self.pieces = Kept(lambda piece: self.machine.encode(piece.encode()).tobytes(), KEPT_PIECES // share)
+        self.stretches = Kept(self._by_pattern, KEPT_STRETCHES // share)
         self.other_blanks = re.compile(r"\A | \Z| \s|\s |\x00").search
 
     def _by_pattern(self, text: str) -> bytes:
@@ -329,12 +331,13 @@ def text_of(ids: np.ndarray, tokens: np.ndarray, closed: np.ndarray) -> Iterator
     yield decoder.end()
 
 
-def _encoder(data: bytes, pattern: str):
+def _encoder(data: bytes, pattern: str, share: int = 1):
     def make():
+        give_back()
         gc.set_threshold(200_000, 50, 1000)  # the tables hold no cycles
-        return TextEncoder(read_ranks(data), pattern)
+        return TextEncoder(read_ranks(data), pattern, share)
 
-    return worker_cache(f"bpe-encoder-{hash((data, pattern))}", make)
+    return worker_cache(f"bpe-encoder-{hash((data, pattern, share))}", make)
 
 
 def _tokens(data: bytes):
@@ -409,11 +412,12 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decode
     return df.mapInArrow(run, schema_with(df, **{data: "binary"}, **({text: "string"} if text else {})))
 
 
-def digests(df: DataFrame, ranks_path: str, pattern: str, key: str, text: str = "text") -> DataFrame:
+def digests(df: DataFrame, ranks_path: str, pattern: str, key: str, text: str = "text", share: int = 1) -> DataFrame:
     """``key``, number of ids, and digests of the ids and of the text they decode to, in one pass over each text.
 
     Every text is encoded, and its ids are decoded again by the state machine;
-    neither ids nor texts leave the task.
+    neither ids nor texts leave the task. A worker keeps a ``share``-th of the
+    tables' usual size; ids do not depend on it.
     """
     with open(ranks_path, "rb") as file:
         shipped = df.sparkSession.sparkContext.broadcast(file.read())
@@ -428,7 +432,7 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, key: str, text: str =
         return len(ids), listed.hexdigest(), decoded.hexdigest()
 
     def run(batches):
-        encoder, (tokens, closed) = _encoder(shipped.value, pattern), _tokens(shipped.value)
+        encoder, (tokens, closed) = _encoder(shipped.value, pattern, share), _tokens(shipped.value)
         shown = worker_cache(f"bpe-shown-{len(tokens)}", lambda: np.array([str(k).encode() for k in range(len(tokens))], object))
         for batch in batches:
             for part in portions(batch, text):
@@ -439,4 +443,4 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, key: str, text: str =
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(tidied(run), f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

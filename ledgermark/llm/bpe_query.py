@@ -11,9 +11,9 @@ from ledgermark.llm.shared import table
 RANKS = "byte_bpe_50k.tiktoken"
 
 
-def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str | None = None, share: int = 1) -> DataFrame:
     """Count and digests of each document's ids and of the text they decode to."""
-    return bpe.digests(docs.select("doc_id", "text"), ranks_path or public_tokenizers.path(RANKS), public_tokenizers.PATTERN, "doc_id")
+    return bpe.digests(docs.select("doc_id", "text"), ranks_path or public_tokenizers.path(RANKS), public_tokenizers.PATTERN, "doc_id", share=share)
 
 
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermark.llm.shared import forget_cached, portions, saved, schema_with, text_bytes, with_columns
+from ledgermark.llm.shared import forget_cached, portions, saved, schema_with, text_bytes, tidied, with_columns
 from ledgermark.llm.shingles import byte_codes, is_blank, stretch_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -119,7 +119,7 @@ def chunk_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 ids = np.repeat(part.column(0).to_numpy(), np.diff(firsts))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array(digests[fresh])], names=["id", "digest"])
 
-    return docs.select(_id(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, digest bigint")
+    return docs.select(_id(key).alias("id"), F.col(text).alias("text")).mapInArrow(tidied(run), "id bigint, digest bigint")
 
 
 def _id(key: str):
@@ -204,4 +204,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
                 yield with_columns(part, ("_repeated",), **new)
 
     types = {text: "string", "n_chunks": "bigint", "n_repeated": "bigint", "removed": "array<struct<start:bigint,stop:bigint>>"}
-    return rows.mapInArrow(run, schema_with(rows, ("_repeated",), **types))
+    return rows.mapInArrow(tidied(run), schema_with(rows, ("_repeated",), **types))

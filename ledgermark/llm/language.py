@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermark.llm.shared import forget_cached, portions, saved, schema_with, text_bytes, with_columns
+from ledgermark.llm.shared import forget_cached, portions, saved, schema_with, text_bytes, tidied, with_columns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -95,7 +95,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
                     found, times = np.unique(cells[owners == name], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], names=["label", "cell", "n"])
 
-    rows = drawn.select(F.col(label).alias("label"), F.col(text).alias("text")).mapInArrow(run, "label string, cell bigint, n bigint")
+    rows = drawn.select(F.col(label).alias("label"), F.col(text).alias("text")).mapInArrow(tidied(run), "label string, cell bigint, n bigint")
     counted = rows.groupBy("label", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most a row a cell and language
     names = sorted(counted["label"].unique().tolist())
     table = np.full((CELLS, max(len(names), 1)), 0.1)
@@ -126,7 +126,7 @@ def text_scores(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFra
 
     table_width = table.shape[1]
     read = rows.withColumn("row", F.xxhash64("id", "text"))
-    return read.mapInArrow(run, schema_with(read, ("text",), letters="bigint", scores="array<double>"))
+    return read.mapInArrow(tidied(run), schema_with(read, ("text",), letters="bigint", scores="array<double>"))
 
 
 def with_sources(scored: DataFrame) -> DataFrame:

@@ -77,3 +77,12 @@ def test_ids_and_text_of_the_operator(spark):
     df = clashing(frame(spark, awkward())).drop("ids", "decoded")
     back = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, text="again").collect()
     assert all(r["again"] == (r["text"] or "") == bytes(r["decoded"]).decode() for r in back)
+
+
+def test_a_share_of_the_tables_gives_the_same_ids(ranks, library):
+    """Where several operators share an executor a worker keeps a quarter; what it encodes stays the same."""
+    whole, part = bpe.TextEncoder(ranks, public_tokenizers.PATTERN), bpe.TextEncoder(ranks, public_tokenizers.PATTERN, bpe.SHARED)
+    for kept, all_ in ((part.stretches, whole.stretches), (part.pieces, whole.pieces), (part.machine.steps, whole.machine.steps), (part.machine.pairs, whole.machine.pairs)):
+        assert 0 < kept.most <= all_.most // bpe.SHARED
+    for text in ("thereforeininteresting " * 40, "é漢😀 of the era, 12 ways"):
+        assert part.encode(text).tolist() == library.encode_ordinary(text)

@@ -1,9 +1,9 @@
 """Operator 13: personal data by fixed patterns and bootstrapped contextual extraction.
 
 Four patterns give the base spans of a text (email, ip, card, phone). They are
-the seeds. Every identifier-like item of the text, a token with a digit or a
-number of several groups, stands in up to three lexical patterns made of the
-words next to it. Patterns and items' values form a graph whose distinct edges
+the seeds, wherever in a token they stand. Every identifier-like item of the
+text, which is one of those, a number of several groups or a token with a digit
+or an @, stands in up to three lexical patterns made of the words next to it. Patterns and items' values form a graph whose distinct edges
 are scored in rounds:
 
 - a pattern scores, for a kind, the confidence of its values in that kind over
@@ -48,8 +48,19 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-# A phone number or groups of digits, or else a token with a digit.
-ITEM = rf"(?<![^\x20\x09-\x0D])(?:{PHONE}|{CARD}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)"
+IN = r"[^\x20\x09-\x0D]"  # a character of a token
+EDGE = r"[^\p{L}0-9\x20\x09-\x0D]"
+#: What a base span may look like; numbers must be long enough, the rest is checked on the match.
+LONG_CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11}+(?:[\x20-]?[0-9])*+"
+LONG_PHONE = r"(?=\+[0-9](?:[\x20().-]*+[0-9]){8})" + PHONE
+LOOKS = f"{EMAIL}|{IP}|{LONG_PHONE}|{LONG_CARD}"
+# An identifier or groups of digits that edges of their token may surround, or else a token with a digit or @ and
+# no identifier inside, or else an identifier inside a token.
+ITEM = (
+    rf"(?:(?<!{IN})(?:{PHONE}(?:{EDGE}++(?!{IN}))?+|(?:(?!\+){EDGE})*+(?:{PHONE}|{IP}|{EMAIL}|{CARD}){EDGE}*+(?!{IN})"
+    rf"|(?={IN}*?[\p{{L}}0-9])(?!{IN}*?(?:{LOOKS}))[^\x20\x09-\x0D0-9@]*+[0-9@]{IN}*+)"
+    rf"|(?:{LOOKS})(?:{EDGE}++(?!{IN}))?+)"
+)
 
 BLOCK = 256
 
@@ -167,7 +178,7 @@ def items(text: Column) -> Column:
 
     found = let(matches(text, ITEM), lambda all_: F.transform(all_, lambda m, i: one(m, i == 0, i == F.size(all_) - 1)))
     none = F.array().cast("array<struct<start:bigint,stop:bigint,kind:int,value:bigint,patterns:array<string>>>")
-    return F.when(text.rlike("[0-9]"), found).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
 def listed(spans: Column) -> Column:

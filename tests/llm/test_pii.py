@@ -165,3 +165,22 @@ def test_running_sums(spark):
     for n in (0, 1, pii.BLOCK, pii.BLOCK + 1, 1_000):
         row = spark.createDataFrame([(lengths[:n],)], "a array<bigint>").select(pii.running(F.col("a"))).first()[0]
         assert row == [sum(lengths[: k + 1]) for k in range(n)]
+
+
+def test_every_base_span_is_a_seed(spark):
+    """Without a digit, before a stop, in brackets or behind a word of the same token: an identifier enters the graph."""
+    texts = ["to jane@host.org now", "to <jane@host.org>, now", "mailto:jane@host.org?x", "ip=10.0.0.1:80 up", "(10.0.0.1).", "paid 4111 1111 1111 1111, then",
+             "nr.4111 1111 1111 1111", "call (+1 555 123 4567)", "tel:+49 30 1234567.", "x4111111111111111y a1@b.cd, 10.0.0.1."]
+    rows = frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA).select("doc_id", pii.items(F.col("text")).alias("i")).collect()
+    for row in rows:
+        assert [(i.start, i.kind, i.stop) for i in row.i if i.kind is not None] == base(texts[row.doc_id]), texts[row.doc_id]
+
+
+def test_an_address_without_digits_is_learnt_from_others(spark):
+    """Contexts of addresses without a digit count, and what stands there with an @ but without a suffix is found."""
+    names = ["ann", "bob", "cid", "dan", "eva", "fay", "gus", "hal"]
+    texts = [f"please write to {n}@host.org, today" for n in names] + ["please write to ivy@localhost today"]
+    docs = frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    got = sorted(result(pii.personal_data(docs)))
+    assert got[-1] == (8, [], [(16, 0, 29)])
+    assert all(own == spans == base(texts[k]) for k, own, spans in got[:-1])

@@ -161,3 +161,12 @@ def test_all_reports_score_once(golden):
 
     plan = plan_of(evaluate_predictions(*golden)["listed"])
     assert plan.count("Join") == 1 and "ReusedExchange" not in plan
+
+
+def test_rows_of_one_split_are_scored_by_many_tasks(spark):
+    """A file of one split, joined by broadcast, used to be scored in one task."""
+    gold = spark.range(0, 4_000, 1, 1).select(F.col("id").alias("uid"), F.lit("span").alias("answer_type"), F.lit("").alias("scale"), F.array(F.lit("a b")).alias("answer"))
+    pred = spark.range(0, 4_000, 2, 1).select(F.col("id").alias("uid"), F.array(F.lit("a c")).alias("pred"), F.lit("").alias("pred_scale"))
+    scored = score_predictions(gold.join(F.broadcast(pred), "uid", "left"))
+    sizes = [r["count"] for r in scored.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 4_000 and len(sizes) >= 8 and max(sizes) <= 600

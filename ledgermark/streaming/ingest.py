@@ -3,14 +3,18 @@
 A stream takes in the files that arrived; which keys have been stored is state
 of the stream, kept by key in RocksDB, so a batch neither lists nor reads what
 earlier ones wrote. Only the first row of a key within a batch is left to
-settle: Arrow tasks keep each key's first row of what they read, then of what a
+settle: Arrow tasks keep each key's first row of what they hold, then of what a
 shuffle by key brings together, and what reaches the state is one row a key. A
-key that many rows share is reduced before the shuffle.
+key that many rows share is reduced before the shuffle. Rows that wait for the
+last of their key wait on disk.
 """
 
 from __future__ import annotations
 
+import itertools
+import os
 import sys
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Where a row stands among all arrivals; the line is counted while reading.
 _LINE = "_line"
 _ORDER = ["_mtime", "_file", "_block", _LINE]
+#: Bytes of rows that a task holds in memory.
+HELD_BYTES = 32 << 20
+#: Bytes of rows that go to a task at once.
+BATCH_BYTES = "8m"
 
 
 def read_ingested(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
@@ -50,42 +58,81 @@ def _same(column: pa.ChunkedArray) -> np.ndarray:
     return equal.to_numpy(zero_copy_only=False)
 
 
-def first_rows(batches: list[pa.RecordBatch], keys: list[str], order: list[str]) -> list[pa.RecordBatch]:
-    """The first row of every key, in batches cut from the given ones; only keys and places are sorted."""
+def first_places(batches: list[pa.RecordBatch], keys: list[str], order: list[str]) -> np.ndarray:
+    """Where the first row of every key stands, counted over all batches, ascending; only keys and places are sorted."""
     table = pa.Table.from_batches([b.select([*keys, *order]) for b in batches])
     if not table.num_rows:
-        return []
+        return np.zeros(0, np.int64)
     ranked = pc.sort_indices(table, sort_keys=[(n, "ascending") for n in [*keys, *order]])
     sorted_keys = table.select(keys).take(ranked)
     repeated = np.ones(table.num_rows - 1, bool)
     for key in keys:
         repeated &= _same(sorted_keys.column(key))
-    winners = np.sort(ranked.to_numpy().astype(np.int64)[np.concatenate([[True], ~repeated])])
+    return np.sort(ranked.to_numpy().astype(np.int64)[np.concatenate([[True], ~repeated])])
+
+
+def first_rows(batches: list[pa.RecordBatch], keys: list[str], order: list[str]) -> list[pa.RecordBatch]:
+    """The first row of every key, in batches cut from the given ones."""
+    winners = first_places(batches, keys, order)
     ends = np.cumsum([b.num_rows for b in batches])
     cut = np.split(winners, np.searchsorted(winners, ends[:-1]))
     return [b.take(pa.array(rows - (end - b.num_rows))) for b, rows, end in zip(batches, cut, ends, strict=True) if len(rows)]
 
 
-def _firsts(keys: list[str], order: list[str], count_lines: bool):
-    """A task that passes on each key's first row; settled whenever what it holds has doubled."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    line = 0
+    for batch in batches:
+        lines = pa.array(np.arange(line, line + batch.num_rows), pa.int64())
+        line += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, lines], names=[*batch.schema.names, _LINE])
+
+
+def _combined(keys: list[str], order: list[str]):
+    """A task that numbers its lines and passes on each key's first row of what it can hold; what is full is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, settled, line = [], 0, 0, 0
-        for batch in batches:
-            if count_lines:
-                lines = pa.array(np.arange(line, line + batch.num_rows), pa.int64())
-                line += batch.num_rows
-                batch = pa.RecordBatch.from_arrays([*batch.columns, lines], names=[*batch.schema.names, _LINE])
+        held, size = [], 0
+        for batch in _numbered(batches):
             held.append(batch)
-            rows += batch.num_rows
-            if rows > 2 * settled + 10_000:
+            size += batch.nbytes
+            if size > HELD_BYTES:
                 held = first_rows(held, keys, order)
-                rows = settled = sum(b.num_rows for b in held)
+                size = sum(b.nbytes for b in held)
+                if size > HELD_BYTES // 2:
+                    yield from held
+                    held, size = [], 0
         yield from first_rows(held, keys, order) if held else []
 
     return run
 
 
+def _settled(keys: list[str], order: list[str]):
+    """A task that passes on each key's first row; rows wait in a file of the task's own, keys and places in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        with tempfile.SpooledTemporaryFile(HELD_BYTES, dir=folder if os.path.isdir(folder) else None) as rows:
+            places = []
+            with pa.ipc.new_stream(rows, first.schema) as writer:
+                for batch in itertools.chain([first], batches):
+                    writer.write_batch(batch)
+                    # copied, as a selection would keep the whole batch
+                    places.append(batch.select([*keys, *order]).take(pa.array(np.arange(batch.num_rows))))
+            winners, start = first_places(places, keys, order), 0
+            places.clear()
+            rows.seek(0)
+            for batch in pa.ipc.open_stream(rows):
+                low, high = np.searchsorted(winners, [start, start + batch.num_rows])
+                if high > low:
+                    yield batch.take(pa.array(winners[low:high] - start))
+                start += batch.num_rows
+
+    return run
+
+
 def ingest_completions_stream(
     spark: SparkSession,
     in_dir: str,
@@ -101,7 +148,8 @@ def ingest_completions_stream(
     Each micro-batch owns the folder of its batch number and overwrites it; a
     replayed batch starts from the state of the one before, so it leaves one
     copy. The number of shuffle partitions is that of the first run. A task
-    holds the first rows of its share of a batch, which ``max_files`` bounds.
+    holds the keys and places of its share of a batch, which ``max_files``
+    bounds; the rows themselves wait on the executor's disk.
     """
     arrived = (
         spark.readStream.schema(schema)
@@ -116,21 +164,23 @@ def ingest_completions_stream(
         )
     )
     numbered = StructType([*arrived.schema.fields, StructField(_LINE, LongType())])
-    here = arrived.mapInArrow(_firsts(list(keys), _ORDER, True), numbered)
-    firsts = here.repartition(*keys).mapInArrow(_firsts(list(keys), _ORDER, False), numbered)
+    here = arrived.mapInArrow(_combined(list(keys), _ORDER), numbered)
+    firsts = here.repartition(*keys).mapInArrow(_settled(list(keys), _ORDER), numbered)
     fresh = firsts.drop(*_ORDER).dropDuplicates(list(keys))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/{BATCH}={batch_id}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    provider = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         query = fresh.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if provider is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, provider)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)

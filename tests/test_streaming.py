@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import random
 import shutil
@@ -9,6 +10,7 @@ import shutil
 import pyarrow as pa
 import pytest
 
+from ledgermark.streaming import ingest
 from ledgermark.streaming.ingest import first_rows, ingest_completions_stream, read_ingested
 
 SCHEMA = "id string, sample_idx int, text string"
@@ -82,3 +84,22 @@ def test_several_batches_in_one_run(spark, dirs):
     run(spark, dirs, max_files=1)
     rows = read_ingested(spark, str(dirs / "out"), SCHEMA).collect()
     assert len({r.batch_id for r in rows}) == 1 and sorted(r.id for r in rows) == ["k1", "k2", "k3", "k4", "k5"]
+
+
+def test_tasks_hold_keys_and_not_rows(monkeypatch):
+    """Texts of 120 MB under distinct keys used to be held whole by a task; now a few MB are."""
+    monkeypatch.setattr(ingest, "HELD_BYTES", 1 << 20)
+    # 120 batches of ten texts of 100 KB; the last one repeats the keys of the first
+    names = ["id", "text", *ingest._ORDER]
+    at = pa.array([datetime.datetime(2026, 1, 1)] * 10, pa.timestamp("us"))
+    rows = lambda k: pa.RecordBatch.from_arrays(
+        [pa.array([f"{k % 119}-{j}" for j in range(10)]), pa.array([chr(97 + k % 26) * 100_000] * 10), at, pa.array(["f"] * 10), pa.array([0] * 10, pa.int64()), pa.array(range(10 * k, 10 * k + 10), pa.int64())], names=names
+    )
+    before, most, found = pa.total_allocated_bytes(), 0, []
+    for batch in ingest._settled(["id"], ingest._ORDER)(rows(k) for k in range(120)):
+        most = max(most, pa.total_allocated_bytes() - before)
+        found += [(i, t[0], len(t)) for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
+    assert found == [(f"{k}-{j}", chr(97 + k % 26), 100_000) for k in range(119) for j in range(10)]
+    assert most < 8_000_000
+    parts = list(ingest._combined(["id"], ingest._ORDER[:-1])(rows(k).drop_columns([ingest._LINE]) for k in range(120)))
+    assert len(parts) > 50 and max(b.nbytes for b in parts) < 3_000_000 and {i for b in parts for i in b["id"].to_pylist()} == {f"{k}-{j}" for k in range(119) for j in range(10)}

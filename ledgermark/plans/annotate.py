@@ -17,6 +17,7 @@ from ledgermark.functions.numbers import finqa_equal
 from ledgermark.functions.programs import run_assignments
 from ledgermark.functions.prompts import annotate_prompt, calculation_prompt, definition_prompt, with_few_shot
 from ledgermark.operators.joins import join_completions
+from ledgermark.operators.scoring import dealt_out
 from ledgermark.operators.votes import majority_vote
 
 
@@ -61,7 +62,7 @@ def vote_step(examples: DataFrame, completions: DataFrame) -> DataFrame:
         F.col("_key.id").alias("id"), F.array("code").alias("_code"), answer_to_label("prediction").alias("executed")
     )
     kept = [c for c in examples.columns if c != "generated"]
-    joined = examples.select(*kept).join(voted, "id", "left")
+    joined = dealt_out(examples.select(*kept).join(voted, "id", "left"))  # a comparison is far more work than its row has bytes
     return joined.select(
         *kept,
         F.coalesce("_code", F.array(F.lit(""))).alias("generated"),

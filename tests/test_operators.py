@@ -14,6 +14,7 @@ from ledgermark.operators.metrics import accuracy, running_accuracy, weighted_me
 from ledgermark.operators.shards import dedup_keep_first, sample_n, shuffle_rows, union_shards
 from ledgermark.operators.tables import complete_tables, has_complete_series, pair_table_text, parse_markdown_table, table_lines, to_year_rows, whole_tables
 from ledgermark.operators.votes import majority_vote, rank_by_logprob, sort_by_logprob, vote_pair
+from ledgermark.plans.annotate import vote_step
 from ledgermark.schemas import RAW_RECORD
 
 
@@ -305,3 +306,12 @@ def test_a_long_table_is_read_once(spark):
     text = "| Year | Tax |\n|---|---|\n" + "".join(f"| {k % 4000} | {k} |\n" for k in range(16_000))
     got = {r["row_key"]: r["value"] for r in parse_markdown_table(spark.createDataFrame([(1, text)], "table_id int, text string")).filter("column = 'Tax'").collect()}
     assert got == {str(k % 4000): str(k) for k in range(16_000)}
+
+
+def test_examples_of_one_split_are_compared_by_many_tasks(spark):
+    """Examples in a file of one split, joined by broadcast, used to be compared with their winners in one task."""
+    examples = spark.range(0, 2_000, 1, 1).select(F.col("id").cast("string").alias("id"), F.try_parse_json(F.col("id").cast("string")).alias("answer"))
+    samples = spark.range(0, 40, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("sample_idx"), F.concat(F.lit("ans = "), "id").alias("text"))
+    rows = vote_step(examples, samples).select("is_correct", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 2_000 and sum(bool(r.is_correct) for r in rows) == 40
+    assert len({r.task for r in rows}) >= 8

@@ -203,7 +203,9 @@ def identified(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected rows; ``lang`` is what a document declares and ``source`` its host."""
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address"), F.col("source").alias("host"))
-    rejected = identified(rows, docs).filter(~F.col("kept")).select(F.col("id").alias("_id"), F.col("row").alias("_row")).distinct()
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name the documents have
+    own_id, own_row = f"{free}id", f"{free}row"
+    rejected = identified(rows, docs).filter(~F.col("kept")).select(F.col("id").alias(own_id), F.col("row").alias(own_row)).distinct()
     # Saved, the rejects are of known size: few are broadcast, and the texts stay where they are.
     rejected = saved(rejected, "language-rejected")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_row")), "left_anti")
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("doc_id", "text") == F.col(own_row)), "left_anti")
